@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_AZ).split()
 
 
+
+
+#: No fewer rows than this make a key hot, and no more keys than the other are hot.
+HOT_ROWS = 200
+HOT_KEYS = 20_000
+
+
+def join_by_key(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with values, which has one row a key and in column size how many of the total rows have that key.
+
+    A key of more than HOT_ROWS rows and a HOT_KEYS-th of all rows is hot. There are at most HOT_KEYS
+    such keys, which bounds what is broadcast; their rows stay where they are. No other key has
+    rows enough to weigh on its task.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(values.where(F.col(size) > least))
+    cold = values.where(F.col(size) <= least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share; it is deleted when the session's JVM ends."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    folder = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash
-from .common import table
+from . import bpe, exact_dedup, simhash, token_store
+from .common import scratch, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    folder = scratch(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, path or tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_store.read_checksums(spark, folder)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -45,7 +51,7 @@ FROM keyed WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
