@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, token_store
+from . import bpe, exact_dedup, license_scan, mixing, simhash, token_store
 from .common import scratch, table
 
 
@@ -35,6 +35,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_store.read_checksums(spark, folder)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ FROM keyed WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op7_mix_sources, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op6_license_scan, op7_mix_sources, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
