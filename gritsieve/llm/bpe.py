@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_field
+from .common import id_field, portions
 
 #: The splitting pattern of byte-level vocabularies, and Unicode's white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -221,18 +221,6 @@ def loaded(path: str) -> ByteBpe:
     return _LOADED[path]
 
 
-def portions(texts: list[str], most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Slices of at most so many characters, or of one text."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row's text."""
     kind = id_field(docs)
@@ -241,7 +229,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in portions(texts):
+            for part in portions(list(map(len, texts)), BATCH_CHARS):
                 ids = bpe.encode_many(texts[part])
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])

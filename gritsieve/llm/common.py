@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def portions(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices whose sizes come to at most so much, or of one item."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))

@@ -22,25 +22,28 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import portions
-from .common import id_field, join_by_key, materialize
+from .common import id_field, join_by_key, materialize, portions
 
 WINDOW = 16
 MEAN_CHUNK = 256
 LEAST_CHUNK = 32
 MOST_CHUNK = 2048
 DIGEST = 16
-MEMO = 1 << 18
+MEMO = 1 << 19
 LONG_CHUNK = 64
+#: Bytes of text worked on at once.
+BATCH_BYTES = 1 << 22
 _MULTIPLIER = 0xD1342543DE82EF95
 _MASK64 = (1 << 64) - 1
 
@@ -139,11 +142,18 @@ def shifted_crc(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
 # -- encoding ------------------------------------------------------------------------------
 
 
+#: Letters with white space before them are one piece of the vocabulary's splitting pattern, a run
+#: of ASCII marks after them another (an apostrophe may start one of its own). Below U+0250 letters have settled classes, and
+#: all but one (U+0130) stay one letter in lower case.
+_PLAIN = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130") + "]+([!-&(-/:-@[-`{-~]*)")
+
+
 class Encoder:
-    """Ids by the tokenizers library, remembered by white-space-delimited chunk.
+    """Ids by the tokenizers library, worked out once for each distinct white-space-delimited chunk.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    chunks on end. The memo saves time only.
+    chunks on end. Plain chunks are handed to the library many at a time, in one text with spaces
+    between; the ids that end a piece tell them apart again. The memo saves time only.
     """
 
     def __init__(self, path: str):
@@ -153,24 +163,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode_many(self, texts: list[str], end: int) -> list[bytes]:
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+        self.ends_piece = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {"": b""}
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain, counts, others = [], [], []
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                plain.append(c)
+                counts.append(2 if m[1] else 1)
+            else:
+                others.append(c)
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            pieces = np.cumsum(counts[at : at + 1024])
+            if len(ends) != pieces[-1]:  # not as the pattern says; never with the vocabularies known here
+                others += part
+                continue
+            raw, cuts, width = ids.tobytes(), ends[pieces - 1].tolist(), ids.itemsize
+            for c, a, b in zip(part, [0, *cuts], cuts):
+                self.memo[c] = raw[a * width : b * width]
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[c] = np.array(e.ids, self.kind).tobytes()
+
+    def encode_many(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, last = self.memo, np.array([end], self.kind).tobytes()
-        split = [t.encode().split() for t in texts]  # at ASCII white space alone
-        new = list({c for cs in split for c in cs if c not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                memo[chunk] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join([memo[c] for c in cs]) + last for cs in split]
+            self.memo = {"": b""}
+        memo = self.memo
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in memo]
+        self._learn(new)
+        values = [memo[c] for c in distinct]
         for c in new:
             if len(c) > LONG_CHUNK:
                 del memo[c]
-        return out
+        width = np.dtype(self.kind).itemsize
+        lengths = np.array([len(v) for v in values], np.int64) // width
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(values), self.kind)
+        order = coded.indices.to_numpy()
+        n = lengths[order]
+        past = np.cumsum(n)
+        ids = flat[np.repeat(starts[order] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
+        words = split.offsets.to_numpy()
+        bounds = np.concatenate([np.zeros(1, np.int64), past])[words - words[0]].tolist()
+        last = np.array([end], self.kind)
+        return [np.concatenate([ids[a:b], last]) for a, b in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -197,9 +245,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in portions(texts):
-                yield _pieces(batch.column(0)[part], own.encode_many(texts[part], end_id), own.kind, schema)
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for part in portions(sizes, BATCH_BYTES):
+                yield _pieces(batch.column(0)[part], own.encode_many(batch.column(1)[part], end_id), own.kind, schema)
 
     kind = docs.schema["doc_id"].dataType
     ddl = _PIECES.replace("doc_id", id_field(docs), 1)
@@ -223,13 +271,11 @@ def _has(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _pieces(doc_ids: pa.Array, encoded: list[bytes], kind: str, schema: pa.Schema) -> pa.RecordBatch:
+def _pieces(doc_ids: pa.Array, encoded: list[np.ndarray], kind: str, schema: pa.Schema) -> pa.RecordBatch:
     """Rows of documents, then rows of the distinct chunks among them."""
     counts, recipes, lengths, roots, chunks = [], [], [], [], {}
-    for payload in encoded:
-        ids = np.frombuffer(payload, kind)
-        ends = cut(ids)
-        width = ids.itemsize
+    for ids in encoded:
+        payload, ends, width = ids.tobytes(), cut(ids), ids.itemsize
         leaves = []
         for a, b in zip([0, *ends], ends):
             piece = payload[a * width : b * width]
