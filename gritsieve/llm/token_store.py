@@ -40,10 +40,10 @@ MEAN_CHUNK = 256
 LEAST_CHUNK = 32
 MOST_CHUNK = 2048
 DIGEST = 16
-MEMO = 1 << 19
+MEMO = 1 << 20
 LONG_CHUNK = 64
 #: Bytes of text worked on at once.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 23
 _MULTIPLIER = 0xD1342543DE82EF95
 _MASK64 = (1 << 64) - 1
 
@@ -167,58 +167,83 @@ class Encoder:
         self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
         self.ends_piece = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {"": b""}
+        self._forget()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat = np.zeros(0, self.kind)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, by the library."""
+        out = [b""] * len(chunks)
         plain, counts, others = [], [], []
-        for c in chunks:
+        for i, c in enumerate(chunks):
             if m := _PLAIN.fullmatch(c):
-                plain.append(c)
+                plain.append(i)
                 counts.append(2 if m[1] else 1)
-            else:
-                others.append(c)
+            elif c:
+                others.append(i)
         for at in range(0, len(plain), 1024):
             part = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([chunks[i] for i in part])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends_piece[ids]) + 1
             pieces = np.cumsum(counts[at : at + 1024])
             if len(ends) != pieces[-1]:  # not as the pattern says; never with the vocabularies known here
                 others += part
                 continue
             raw, cuts, width = ids.tobytes(), ends[pieces - 1].tolist(), ids.itemsize
-            for c, a, b in zip(part, [0, *cuts], cuts):
-                self.memo[c] = raw[a * width : b * width]
+            for i, a, b in zip(part, [0, *cuts], cuts):
+                out[i] = raw[a * width : b * width]
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[c] = np.array(e.ids, self.kind).tobytes()
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
+                out[i] = np.array(e.ids, self.kind).tobytes()
+        return out
+
+    def _ids_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids on end, and each chunk's start and length among them; what is new is remembered."""
+        if len(self.known) > MEMO:
+            self._forget()
+        at = pc.index_in(distinct, value_set=self.known)
+        new = pc.is_null(at)
+        found = at.fill_null(0).to_numpy()
+        is_new = new.to_numpy(zero_copy_only=False)
+        missing = distinct.filter(new)
+        values = self._look_up(missing.to_pylist())
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(values), self.kind)])
+        own = np.array([len(v) for v in values], np.int64) // flat.itemsize
+        own_starts = len(self.flat) + np.cumsum(own) - own
+        starts, lengths = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        starts[is_new], lengths[is_new] = own_starts, own
+        starts[~is_new], lengths[~is_new] = self.starts[found[~is_new]], self.lengths[found[~is_new]]
+        short = pc.less_equal(pc.binary_length(missing), LONG_CHUNK)
+        held = short.to_numpy(zero_copy_only=False)
+        kept = np.frombuffer(b"".join([v for v, h in zip(values, held.tolist()) if h]), self.kind)
+        self.known = pa.concat_arrays([self.known, missing.filter(short)])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(own[held]) - own[held]])
+        self.lengths = np.concatenate([self.lengths, own[held]])
+        self.flat = np.concatenate([self.flat, kept])
+        return flat, starts, lengths
 
     def encode_many(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        memo = self.memo
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in memo]
-        self._learn(new)
-        values = [memo[c] for c in distinct]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del memo[c]
-        width = np.dtype(self.kind).itemsize
-        lengths = np.array([len(v) for v in values], np.int64) // width
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(values), self.kind)
+        flat, starts, lengths = self._ids_of(coded.dictionary)
         order = coded.indices.to_numpy()
-        n = lengths[order]
-        past = np.cumsum(n)
-        ids = flat[np.repeat(starts[order] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
         words = split.offsets.to_numpy()
-        bounds = np.concatenate([np.zeros(1, np.int64), past])[words - words[0]].tolist()
+        words = (words - words[0]).tolist()
         last = np.array([end], self.kind)
-        return [np.concatenate([ids[a:b], last]) for a, b in zip(bounds, bounds[1:])]
+        out = []
+        for a, b in zip(words, words[1:]):
+            own = order[a:b]
+            n = lengths[own]
+            past = np.cumsum(n)
+            ids = flat[np.repeat(starts[own] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
+            out.append(np.concatenate([ids, last]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
