@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, quality, simhash, token_store, toxicity
+from . import bpe, exact_dedup, license_scan, lm_score, mixing, quality, simhash, token_store, toxicity
 from .common import scratch, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,7 +73,7 @@ FROM keyed WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op6_license_scan, op7_mix_sources, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op6_license_scan, op7_mix_sources, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
