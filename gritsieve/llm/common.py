@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that every contract here means: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -97,3 +98,20 @@ def portions(sizes: list[int], most: int) -> Iterator[slice]:
         total += size
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of value over the rows before each in a total order, by ranges; rows come sorted.
+
+    Order should tell most rows apart, since equal ones share a range. What meets in one task is
+    a row for each range.
+    """
+    part, at, total, before = "__part", "__at", "__total", "__before"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id())
+    ranged = materialize(ranged)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(part).agg(F.sum(value).alias(total))
+    offsets = sums.select(part, F.coalesce(F.sum(total).over(earlier(Window.orderBy(part))), F.lit(0)).alias(before))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(part).orderBy(at))), F.lit(0))
+    done = ranged.join(offsets, part).withColumn(name, F.col(before) + inside)
+    return done.sortWithinPartitions(at).drop(part, at, before)

@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, lm_score, mixing, quality, simhash, token_store, toxicity
-from .common import scratch, table
+from . import bpe, exact_dedup, license_scan, lm_score, mixing, quality, simhash, token_store, toxicity, warc_audit
+from .common import materialize, scratch, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a copy of all pages' records in which every 97th page is damaged and every 89th missing."""
+    pages = table(spark, sf_dir, "pages")
+    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    damaged = F.when(page % 97 == 5, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("~"))).otherwise(html)
+    record = warc_audit.record_bytes(page, F.col("url"), html)
+    copy = F.when(F.coalesce(page % 89 == 7, F.lit(False)), F.lit(None)).otherwise(warc_audit.digest(warc_audit.record_bytes(page, F.col("url"), damaged)))
+    records = pages.select("page_id", F.octet_length(record).cast("long").alias("length"), warc_audit.digest(record).alias("digest"), copy.alias("copy"))
+    placed = materialize(warc_audit.laid_out(records, [page.asc_nulls_last(), F.col("digest")]))
+    original = placed.select("archive", "offset", "length", "digest")
+    replica = placed.where("copy is not null").select("archive", "offset", "length", F.col("copy").alias("digest"))
+    found = warc_audit.audit(original, replica).select("archive", "offset", "finding")
+    joined = placed.join(found, ["archive", "offset"], "left")
+    return joined.select("page_id", "archive", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("finding", F.lit("sound")).alias("finding"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,9 +88,30 @@ FROM keyed WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+OP2_SQL = r"""
+WITH r AS (
+  SELECT page_id, coalesce(html, '') AS body,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+         || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html'
+         || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head
+  FROM pages
+), d AS (
+  SELECT page_id, head || body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM r
+), p AS (
+  SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256,
+         CAST(coalesce(sum(strlen(record)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position
+  FROM d
+)
+SELECT page_id, position // 67108864 AS archive,
+       position - min(position) OVER (PARTITION BY position // 67108864) AS offset, length, record_sha256,
+       CASE WHEN page_id % 89 = 7 THEN 'missing' WHEN page_id % 97 = 5 THEN 'damaged' ELSE 'sound' END AS finding
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op6_license_scan, op7_mix_sources, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_warc_fixity, op3_simhash_near_dedup, op4_bpe_round_trip, op5_token_store, op6_license_scan, op7_mix_sources, op8_quality_rules, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_warc_fixity": OP2_SQL, "op10_exact_dedup": OP10_SQL}

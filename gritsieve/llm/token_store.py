@@ -31,9 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_field, join_by_key, materialize, portions
+from .common import id_field, join_by_key, materialize, portions, running_sum
 
 WINDOW = 16
 MEAN_CHUNK = 256
@@ -331,15 +330,8 @@ def _pieces(doc_ids: pa.Array, encoded: list[np.ndarray], kind: str, schema: pa.
 
 
 def _with_starts(recipes: DataFrame) -> DataFrame:
-    """Adds start: a running sum in order of doc_id, by ranges; one sum for each range meets the others."""
     order = [F.col("doc_id").asc_nulls_last(), F.col("chunks")]
-    ranged = materialize(recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("part", before.alias("before"))  # a row for each range
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    done = ranged.join(offsets, "part").withColumn("start", F.col("before") + inside)
-    return done.sortWithinPartitions("start").select("doc_id", "start", "n_tokens", "chunks", "lengths", "root")
+    return running_sum(recipes, order, "n_tokens", "start").select("doc_id", "start", "n_tokens", "chunks", "lengths", "root")
 
 
 # -- reading -------------------------------------------------------------------------------
