@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty
+from .common import SPACE, join_by_key, materialize, text_or_empty
 
 BITS_PER_ROW = 16
 PROBES = 4
@@ -148,9 +148,9 @@ def dedup_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
     # Equal rows are counted before anything else, then each group's rows before they meet.
-    rows = flagged.where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    settled = rows.join(groups, "digest").select(
+    rows = materialize(flagged.where("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("n")))
+    groups = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("rows")))
+    settled = join_by_key(rows, groups, "digest", "rows", rows.count()).select(
         "doc_id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")
     )
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
