@@ -38,8 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text decoded from them."""
-    path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [

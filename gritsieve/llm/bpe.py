@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_field, portions
+from .common import id_field, map_arrow, portions
 
 #: The splitting pattern of byte-level vocabularies, and Unicode's white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 counts = pa.array([len(i) // 4 for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{kind}, n_tokens long, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"{kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -249,4 +249,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [bpe.decode(i or b"") for i in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"{kind}, n_tokens long, ids binary, text string")
+    return map_arrow(encoded.select("doc_id", "n_tokens", "ids"), run, f"{kind}, n_tokens long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """decode(encode(docs)), in one pass of one Python worker a task."""
+    kind = id_field(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for part in portions(list(map(len, texts)), BATCH_CHARS):
+                ids = bpe.encode_many(texts[part])
+                columns = [batch.column(0)[part], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "text"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"{kind}, n_tokens long, ids binary, text string")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: The white space that every contract here means: space, tab, LF, VT, FF, CR.
@@ -30,6 +37,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows in one Arrow batch, and so much of what a Python worker holds.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, since some texts are very long; memory is handed back after each task.
+
+    Lowers the session's limit for Arrow batches if it is higher.
+    """
+    spark = df.sparkSession
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH_CONF)) or 1 << 62) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        hand_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def hand_back() -> None:
+    """Returns free memory to the system, where it can be; a worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

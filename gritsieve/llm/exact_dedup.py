@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_by_key, materialize, text_or_empty
+from .common import SPACE, join_by_key, map_arrow, materialize, text_or_empty
 
 BITS_PER_ROW = 16
 PROBES = 4
@@ -95,7 +95,7 @@ def build_repeat_filter(hashes: DataFrame, geometry: Geometry) -> list[tuple[int
         packed = zlib.compress(np.packbits(times == 2).tobytes(), 1)
         yield pa.RecordBatch.from_pydict({"shard": [key[0].as_py()], "bitmap": [packed]}, schema=pa.schema([("shard", pa.int32()), ("bitmap", pa.binary())]))
 
-    parts = hashes.select("h").mapInArrow(local, "shard int, seen binary, again binary")
+    parts = map_arrow(hashes.select("h"), local, "shard int, seen binary, again binary")
     # At most max_bits / 8 bytes in all, whatever the input.
     return [(r.shard, bytes(r.bitmap)) for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bitmap binary").collect()]
 

@@ -36,14 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, materialize, portions
+from .common import fold_remainder, map_arrow, materialize, portions
 
 FOLDS = 5
 HELD_OUT = 1
 ORDER = 2
 #: For orders 2, 3 and so on (the last entry for any beyond).
 MASSES = (300.0, 20.0)
-BLOCK_BYTES = 5 << 19
+#: A third of an Arrow batch, so that no small blocks are left over.
+BLOCK_BYTES = 3_000_000
 BUCKET_KEYS = 400_000
 
 #: No word has white space in it, so these are no word's hash input.
@@ -248,7 +249,7 @@ def _blocks(docs: DataFrame, order: int) -> DataFrame:
                 number += 1
 
     held_out = (fold_remainder("doc_id", FOLDS) == HELD_OUT).alias("held")
-    return docs.select("doc_id", held_out, "text").mapInArrow(run, f"block long, n_keys long, ids array<{kind}>, held array<boolean>, sizes array<int>, texts binary")
+    return map_arrow(docs.select("doc_id", held_out, "text"), run, f"block long, n_keys long, ids array<{kind}>, held array<boolean>, sizes array<int>, texts binary")
 
 
 def _opened(sizes: pa.ListScalar, held: pa.ListScalar, texts: bytes, order: int) -> tuple[Block, np.ndarray]:
@@ -293,7 +294,7 @@ def score(docs: DataFrame, order: int = ORDER, masses: tuple[float, ...] = MASSE
             names=["block", "bucket", "totals", "tokens", "types"],
         )
 
-    asked = blocks.select("block", "held", "sizes", "texts").mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
+    asked = map_arrow(blocks.select("block", "held", "sizes", "texts"), ask, "bucket int, block long, keys binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, totals binary, tokens long, types long"))
     n_tokens, n_types = (v or 0 for v in answers.agg(F.sum("tokens"), F.sum("types")).first())
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_field, portions
+from .common import id_field, map_arrow, portions
 
 LEAST_WORDS = 50
 KEEP_SHARE = 0.5
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
             vectors = [p.features.tobytes() for p in pages_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(vectors, pa.binary())], names=["quality", "features"])
 
-    rows = some.select("text", "quality").mapInArrow(run, "quality int, features binary").where("length(features) > 0").collect()
+    rows = map_arrow(some.select("text", "quality"), run, "quality int, features binary").where("length(features) > 0").collect()
     if len({r.quality for r in rows}) < 2:
         return None
     return fit([np.frombuffer(r.features, float).reshape(-1, FEATURES) for r in rows], [r.quality for r in rows])
@@ -270,7 +270,7 @@ def assess(docs: DataFrame, field: Field | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     longs = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return docs.select("doc_id", "text").mapInArrow(run, f"{kind}, {longs}, base_failed boolean, kept boolean, content_share double")
+    return map_arrow(docs.select("doc_id", "text"), run, f"{kind}, {longs}, base_failed boolean, kept boolean, content_share double")
 
 
 def keep_good(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -281,4 +281,4 @@ def keep_good(docs: DataFrame, field: Field | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([judge(p, field)[0] for p in pages_of(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

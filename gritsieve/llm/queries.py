@@ -45,7 +45,7 @@ def tokenizer_path(name: str) -> str:
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

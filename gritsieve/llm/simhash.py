@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_field, materialize, words_of
+from .common import id_field, map_arrow, materialize, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{id_field(docs)}, fp long")
+    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, fp long")
 
 
 def _bit(i: int) -> Column:

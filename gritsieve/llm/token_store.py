@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_field, join_by_key, materialize, portions, running_sum
+from .common import id_field, join_by_key, map_arrow, materialize, portions, running_sum
 
 WINDOW = 16
 MEAN_CHUNK = 256
@@ -284,7 +284,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    pieces = docs.select("doc_id", "text").mapInArrow(run, ddl)
+    pieces = map_arrow(docs.select("doc_id", "text"), run, ddl)
     first = [F.first(c).alias(c) for c in ("n_tokens", "lengths", "root", "n", "ids")]
     once = pieces.groupBy("digest", "doc_id", "chunks").agg(*first, F.count("*").alias("copies"))
     is_chunk = F.col("digest").isNotNull()
@@ -362,7 +362,7 @@ def _entries(recipes: DataFrame) -> DataFrame:
                 follow += (sum(lengths) - np.cumsum(lengths)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(places, pa.int32()), pa.array(follow, pa.int64()), pa.array(counts, pa.int32()), pa.array(names, pa.binary())], names=["start", "place", "following", "want", "digest"])
 
-    return recipes.select("start", "chunks", "lengths", "root").mapInArrow(run, "start long, place int, following long, want int, digest binary")
+    return map_arrow(recipes.select("start", "chunks", "lengths", "root"), run, "start long, place int, following long, want int, digest binary")
 
 
 def checked_chunks(chunks: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def checked_chunks(chunks: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["digest", "n", "crc"])
 
-    return chunks.select("digest", "n", "ids").mapInArrow(run, "digest binary, n int, crc long")
+    return map_arrow(chunks.select("digest", "n", "ids"), run, "digest binary, n int, crc long")
 
 
 def _resolved(entries: DataFrame, values: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, id_field, materialize, portions
+from .common import fold_remainder, id_field, map_arrow, materialize, portions
 
 FOLDS = 3
 HELD_OUT = 1
@@ -234,7 +234,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     sample = materialize(_sample(docs, labels).repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism)))
-    grams = sample.mapInArrow(_count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()
+    grams = map_arrow(sample, _count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()
     trigrams = {r.gram: r.n for r in grams}
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
         yield pa.RecordBatch.from_pydict({"f": rest, "pos": [0] * len(rest), "neg": [counts[0][f] for f in rest]}, schema=pa.schema([("f", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]))
 
     ratio = F.log((F.col("pos") + 0.5) / totals[1] / ((F.col("neg") + 0.5) / totals[0]))
-    counted = sample.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = map_arrow(sample, count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     chosen = counted.where(F.col("pos") >= LEAST_DOCS).where(ratio > 1).orderBy((F.col("pos") * ratio).desc(), "f").limit(MAX_FEATURES).collect()
     names = sorted(r.f for r in chosen)
     place = {f: i for i, f in enumerate(names)}
@@ -264,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
             rows = [np.array(sorted(place[f] for f in found), "<u2").tobytes() for found in hits(batch.column(0), model, place, memo)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["x", "toxic"])
 
-    rows = sample.mapInArrow(find, "x binary, toxic int").groupBy("x", "toxic").count().collect()  # at most TRAIN_DOCS
+    rows = map_arrow(sample, find, "x binary, toxic int").groupBy("x", "toxic").count().collect()  # at most TRAIN_DOCS
     weights, bias = _logistic(sorted((bytes(r.x), r.toxic, r["count"]) for r in rows), len(names))
     return Scorer(trigrams, dict(zip(names, weights)), bias)
 
@@ -308,4 +308,4 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     held_out = (fold_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out")
-    return docs.select("doc_id", held_out, "text").mapInArrow(run, f"{kind}, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select("doc_id", held_out, "text"), run, f"{kind}, held_out boolean, score double, predicted int")
