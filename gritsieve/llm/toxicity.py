@@ -41,7 +41,7 @@ LEAST_DOCS = 4
 PREFIXES = (3, 4, 5, 6)
 LONGEST_WORD = 24
 THRESHOLD = 0.7
-RIDGE = 0.02
+RIDGE = 0.002
 BATCH_BYTES = 1 << 23
 MEMO = 1 << 19
 
