@@ -27,8 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
-    return simhash.keep_one_of_each_component(docs)
+    """Of each group of texts that share 80 % of their five-word shingles, the document with the smallest id."""
+    return simhash.keep_one_of_each_component(docs, simhash.similar_components(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_field, map_arrow, materialize, words_of
+from .common import id_field, join_by_key, map_arrow, materialize, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -82,20 +82,144 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     found = connected_components(links_within_radius(classes.select("fp")))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", "fp", "component_id")
+    sizes = printed.groupBy("fp").agg(F.count("*").alias("n"))
+    named = materialize(rooted.join(least, "root").join(sizes, "fp").select("fp", "component_id", "n"))
+    return join_by_key(printed, named, "fp", "n", printed.count()).select("doc_id", "fp", "component_id")
+
+
+# -- similar texts ---------------------------------------------------------------------------
+#
+# Fingerprints of whole shingles are too far apart, at radius 2, for texts that share 80 % of
+# their five-word shingles. Here votes are cast by words, as often as they come, under several
+# hashes, which brings such texts within the radius under some hash. Texts that meet under a variant
+# and whose shingles have the same least hash are candidates, and these are verified by the
+# Jaccard similarity of their shingle sets.
+#
+# Under a variant a text is compared with its neighbours in an order that differs by hash, not with
+# all: large groups meet under many variants, and a component needs no more than a path.
+
+WORDS, SIMILARITY, HASHES = 5, 0.8, 6
+#: Shingle hashes kept of a text, the least ones. Two texts with no more have their exact similarity; else it is estimated, with a standard error of 0.025 at 0.8.
+KEPT = 256
+_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(16)]
+
+
+def _scrambled(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30 - k % 8))) * _ODD[k]
+    return x ^ (x >> np.uint64(29))
+
+
+def sketch(text: str | None, words: int = WORDS) -> tuple[list[int], list[int], bytes]:
+    """Fingerprints and least shingle hashes, one of each a hash function, and the KEPT least of the set of shingle hashes (ascending, 32 bits each; one more value than KEPT tells that there are more)."""
+    tokens = words_of(text)
+    if not tokens:
+        return [0] * HASHES, [0] * HASHES, b""
+    counts: dict[bytes, int] = {}
+    for t in tokens:
+        counts[t] = counts.get(t, 0) + 1
+    names = {t: i for i, t in enumerate(counts)}
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(t, SEED) for t in counts]), ">u8").astype(np.uint64)
+    weights = np.fromiter(counts.values(), np.float32, len(counts))
+    row = hashes[np.fromiter(map(names.__getitem__, tokens), np.int64, len(tokens))]
+    span = min(words, len(tokens))
+    rolled = np.zeros(len(tokens) - span + 1, np.uint64)
+    for k in range(span):
+        rolled = rolled * _ODD[1] + row[k : len(tokens) - span + 1 + k]
+    shingles = _scrambled(rolled, 0)
+    prints, least = [], []
+    for k in range(HASHES):
+        raw = _scrambled(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8)
+        votes = np.zeros(64, np.float64)
+        for at in range(0, len(raw), _CHUNK):
+            votes += weights[at : at + _CHUNK] @ np.unpackbits(raw[at : at + _CHUNK], axis=1).astype(np.float32)
+        prints.append(int.from_bytes(np.packbits(votes * 2 > len(tokens)).tobytes(), "big"))
+        least.append(int(_scrambled(shingles, k).min()))
+    return prints, least, np.unique((shingles >> np.uint64(32)).astype(np.uint32))[: KEPT + 1].tobytes()
+
+
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, class, prints, least, shingles): texts with the same sketch are one class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda rows: pa.array(np.array(rows, np.uint64).view(np.int64).reshape(-1, HASHES).tolist(), pa.list_(pa.int64()))
+        for batch in batches:
+            made = [sketch(t, words) for t in batch.column(1).to_pylist()]
+            classes = np.array([xxhash.xxh64_intdigest(np.array([*m[0], *m[1]], np.uint64).tobytes() + m[2]) for m in made], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes), signed([m[0] for m in made]), signed([m[1] for m in made]), pa.array([m[2] for m in made], pa.binary())], names=["doc_id", "class", "prints", "least", "shingles"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, class long, prints array<long>, least array<long>, shingles binary")
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """classes: id, prints, least. Distinct (u, v) of classes that meet under a variant with the same least hash.
+
+    Under each variant a class meets the one before it in an order that differs by hash function.
+    """
+    each = classes.select("id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(HASHES - 1)).alias("k"), "prints", "least")).alias("e"))
+    one = each.select("id", F.col("e.k").alias("k"), F.col("e.prints").alias("fp"), F.col("e.least").alias("least"))
+    variants = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_bit(i)) for i in range(64)])
+    meeting = F.xxhash64("k", "least", "variant").bitwiseAND(F.lit((1 << 48) - 8)).bitwiseOR(F.col("k"))  # 48 bits, for the shuffle's sake; k in the lowest
+    emitted = one.select("id", "k", "least", F.explode(variants).alias("variant")).select("id", meeting.alias("meeting"))
+    turned = emitted.repartition("meeting").withColumn("turn", F.xxhash64("id", F.col("meeting") % 8))
+    before = F.lag("id").over(Window.partitionBy("meeting").orderBy("turn"))
+    met = turned.select("id", before.alias("other")).where("other <> id")
+    return met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    """Similarity of two shingle sets, from their least hashes."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    if not len(a) and not len(b):
+        return 1.0
+    union = np.union1d(a, b)
+    if len(a) > KEPT or len(b) > KEPT:  # below the end of the shorter list both are complete
+        ends = [s[KEPT] for s in (a, b) if len(s) > KEPT]
+        union = union[union < min(ends)]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ids whose sets of shingles have at least that similarity. sets: id, shingles."""
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+
+    @F.arrow_udf("double")
+    def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(map(jaccard, a.to_pylist(), b.to_pylist()), pa.float64())
+
+    return pairs.join(left, "u").join(right, "v").where(likeness("a", "b") >= similarity).select("u", "v")
+
+
+def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
+    rows = materialize(_sketched(docs, words))
+    firsts = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("prints").alias("prints"), F.first("least").alias("least"), F.first("shingles").alias("shingles"))
+    classes = materialize(firsts.withColumn("id", F.monotonically_increasing_id()))
+    pairs = materialize(candidate_pairs(classes.select("id", "prints", "least")))
+    members = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = classes.select("id", "shingles").join(members, "id", "left_semi")
+    found = connected_components(verified(pairs, sets, similarity))
+    rooted = classes.select("class", "id", "first_id", "n").join(found, F.col("id") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(rooted.join(least, "root").select("class", "component_id", "n"))
+    return join_by_key(rows.select("doc_id", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id")
 
 
-def keep_one_of_each_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, whole: of each component the smallest id.
+def keep_one_of_each_component(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay, whole: of each component (doc_id, component_id) the smallest id.
 
-    Rows of one id count once (the one whose text hashes lowest stays), rows without an id too.
+    Rows of one id count once: the one whose text hashes lowest stays. Rows without an id count as
+    one, which stays if some component has no id.
     """
     tag = "__row"
     while tag in docs.columns:
         tag += "_"
-    found = near_duplicate_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = materialize(found.select("doc_id", "component_id"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return stays.withColumn(tag, order).where(F.col(tag) == 1).drop(tag)
+    stays = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    stays = stays.withColumn(tag, order).where(F.col(tag) == 1).drop(tag)
+    if found.where("component_id is null").isEmpty():
+        return stays
+    return stays.unionByName(docs.where("doc_id is null").orderBy(F.xxhash64("text")).limit(1))

@@ -141,11 +141,59 @@ def test_links_find_every_pair(spark):
 def test_near_rows(spark):
     rows = [(3, "same words in here"), (2, "SAME words  in here"), (2, "same words in here"), (4, None), (5, ""), (None, "other"), (6, "another text of words")]
     docs = frame(spark, rows)
-    kept = simhash.keep_one_of_each_component(docs)
+    kept = simhash.keep_one_of_each_component(docs, simhash.near_duplicate_components(docs))
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "6", "None"]
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.keep_one_of_each_component(empty).count() == simhash.near_duplicate_components(empty).count() == 0
+    for components_of in (simhash.near_duplicate_components, simhash.similar_components):
+        assert components_of(empty).count() == simhash.keep_one_of_each_component(empty, components_of(empty)).count() == 0
+
+
+def five_word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_texts_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{int(3000 ** rng.random())}" for _ in range(5000)]  # as frequent as their rank is low
+    rows, group = [], {}
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 400))]
+        for _ in range(rng.randint(1, 4)):
+            words = list(base)
+            for _ in range(len(words) // 90):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two"), (1003, "one two"), (None, "no id here"), (1004, "w " * 20000)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, rows)).collect()}
+    sets = {i: five_word_shingles(t) for i, t in rows[: len(group)]}
+    close = [(a, b) for a in group for b in group if a < b and group[a] == group[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(close) > 80 and np.mean([found[a] == found[b] for a, b in close]) > 0.95
+    assert all(group[i] == group[found[i]] for i in group)
+    assert found[1000] == found[1001] == 1000 and found[1002] == found[1003] == 1002 and found[None] is None and found[1004] == 1004
+
+
+def test_similarity_of_sketches():
+    rng = np.random.default_rng(1)
+    for n, shared in ((40, 30), (200, 170), (5000, 4500)):
+        a = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 32, n - shared, dtype=np.uint32)])
+        kept = [np.unique(x)[: simhash.KEPT + 1].tobytes() for x in (a, b)]
+        assert abs(simhash.jaccard(*kept) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < (1e-9 if n <= 200 else 0.08)
+    assert simhash.jaccard(b"", b"") == 1.0
+
+
+def test_sketch_does_not_depend_on_its_parts(monkeypatch):
+    text = " ".join(f"w{i % 700}" for i in range(5000))
+    whole = simhash.sketch(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 64)
+    assert simhash.sketch(text) == whole
 
 
 def test_components_of_a_long_chain(spark):
