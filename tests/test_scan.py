@@ -248,3 +248,13 @@ def test_plan_is_one_scan_of_two_columns(spark):
     plan = matching.match_lines(queries.table_texts(spark, SF, "documents"), config.built_in())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_files_source(spark, tmp_path):
+    from gritsieve.sources.datasource import FilesSource
+
+    root = tree(tmp_path, {"a.txt": "x", "_b.txt": "", ".env": "y", ".git/c": "z", "d.log": "w", "sub/e.txt": b"\xff\0", "sub/x/f.txt": "q"})
+    spark.dataSource.register(FilesSource)
+    read = lambda paths, exclude: {os.path.relpath(r.path, root): bytes(r.content) for r in spark.read.format("gritsieve_files").option("paths", json.dumps(paths)).option("exclude", exclude).load().collect()}
+    assert read([root, f"{root}/a.txt", f"{root}/none"], "*.log,sub/x/*") == {"a.txt": b"x", "_b.txt": b"", ".env": b"y", "sub/e.txt": b"\xff\0"}
+    assert read([f"{root}/none"], "") == {}
