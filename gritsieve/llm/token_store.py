@@ -50,14 +50,17 @@ _MASK64 = (1 << 64) - 1
 # -- cutting and trees ---------------------------------------------------------------------
 
 
-def rolling_hashes(ids: np.ndarray) -> np.ndarray:
-    """A polynomial hash modulo 2**64 of the WINDOW ids that end at each place (fewer at the start)."""
+def rolling_hashes(ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """A polynomial hash modulo 2**64 of the WINDOW ids that end at each place, or of those since its document's start."""
     n = len(ids)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     powers, inverse = _powers(n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * inverse, dtype=np.uint64)])
+    mixed *= inverse
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
     first = np.maximum(np.arange(1, n + 1) - WINDOW, 0)
+    if starts is not None:
+        first = np.maximum(first, np.repeat(starts, np.diff(starts, append=n)))
     rolled = (total[1:] - total[first]) * powers
     return (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,22 +85,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def cut(ids: np.ndarray) -> list[int]:
     """Ends of the chunks: after a place whose rolling hash is low, LEAST_CHUNK to MOST_CHUNK ids apart."""
-    n = len(ids)
-    places = np.flatnonzero(rolling_hashes(ids) < np.uint64(_MASK64 // (MEAN_CHUNK - LEAST_CHUNK))) + 1
-    ends, start = [], 0
-    for p in places.tolist():
-        while p - start > MOST_CHUNK:
+    return cut_all(ids, np.array([len(ids)]))[0]
+
+
+def cut_all(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """The same for documents that stand one after another, in places of the whole."""
+    starts = np.concatenate([[0], ends[:-1]])
+    low = np.flatnonzero(rolling_hashes(ids, starts) < np.uint64(_MASK64 // (MEAN_CHUNK - LEAST_CHUNK))) + 1
+    bounds = np.searchsorted(low, [starts, ends], side="right").T.tolist()
+    low, out = low.tolist(), []
+    for start, end, (a, b) in zip(starts.tolist(), ends.tolist(), bounds):
+        own: list[int] = []
+        for p in low[a:b]:
+            while p - start > MOST_CHUNK:
+                start += MOST_CHUNK
+                own.append(start)
+            if p - start >= LEAST_CHUNK:
+                own.append(p)
+                start = p
+        while end - start > MOST_CHUNK:
             start += MOST_CHUNK
-            ends.append(start)
-        if p - start >= LEAST_CHUNK:
-            ends.append(p)
-            start = p
-    while n - start > MOST_CHUNK:
-        start += MOST_CHUNK
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
+            own.append(start)
+        if start < end:
+            own.append(end)
+        out.append(own)
+    return out
 
 
 def digest(payload: bytes) -> bytes:
@@ -231,23 +243,19 @@ class Encoder:
         self.flat = np.concatenate([self.flat, kept])
         return flat, starts, lengths
 
-    def encode_many(self, texts: pa.Array, end: int) -> list[np.ndarray]:
-        """Ids of each text and the end id."""
+    def encode_many(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, the end id after each, one after another; and where each ends."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         flat, starts, lengths = self._ids_of(coded.dictionary)
         order = coded.indices.to_numpy()
+        n = lengths[order]
+        past = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        at = np.repeat(starts[order] - past[:-1], n)
+        at += np.arange(len(at))
         words = split.offsets.to_numpy()
-        words = (words - words[0]).tolist()
-        last = np.array([end], self.kind)
-        out = []
-        for a, b in zip(words, words[1:]):
-            own = order[a:b]
-            n = lengths[own]
-            past = np.cumsum(n)
-            ids = flat[np.repeat(starts[own] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
-            out.append(np.concatenate([ids, last]))
-        return out
+        ends = past[words[1:] - words[0]]
+        return np.insert(flat[at], ends, end), ends + np.arange(1, len(ends) + 1)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -276,7 +284,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for part in portions(sizes, BATCH_BYTES):
-                yield _pieces(batch.column(0)[part], own.encode_many(batch.column(1)[part], end_id), own.kind, schema)
+                yield _pieces(batch.column(0)[part], *own.encode_many(batch.column(1)[part], end_id), schema)
 
     kind = docs.schema["doc_id"].dataType
     ddl = _PIECES.replace("doc_id", id_field(docs), 1)
@@ -289,7 +297,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
     once = pieces.groupBy("digest", "doc_id", "chunks").agg(*first, F.count("*").alias("copies"))
     is_chunk = F.col("digest").isNotNull()
     spark = docs.sparkSession
-    once.withColumn("kind", F.when(is_chunk, "chunk").otherwise("recipe")).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/pieces")
+    # Chunks are distinct and their ids look random: a dictionary would be in vain, and a slow codec gains little.
+    kinds = once.withColumn("kind", F.when(is_chunk, "chunk").otherwise("recipe"))
+    kinds.write.partitionBy("kind").option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{folder}/pieces")
     raw = spark.read.schema(once.schema).parquet(f"{folder}/pieces/kind=recipe") if _has(spark, f"{folder}/pieces/kind=recipe") else spark.createDataFrame([], once.schema)
     listed = raw.select(F.col("doc_id").cast(kind), "n_tokens", "chunks", "lengths", "root", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("i")).drop("i")
     _with_starts(listed).write.option("compression", "zstd").parquet(f"{folder}/recipes")
@@ -300,22 +310,21 @@ def _has(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _pieces(doc_ids: pa.Array, encoded: list[np.ndarray], kind: str, schema: pa.Schema) -> pa.RecordBatch:
+def _pieces(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     """Rows of documents, then rows of the distinct chunks among them."""
-    counts, recipes, lengths, roots, chunks = [], [], [], [], {}
-    for ids in encoded:
-        payload, ends, width = ids.tobytes(), cut(ids), ids.itemsize
+    recipes, lengths, roots, chunks = [], [], [], {}
+    starts, size, payload = np.concatenate([[0], ends[:-1]]).tolist(), ids.itemsize, ids.tobytes()
+    for start, own in zip(starts, cut_all(ids, ends)):
         leaves = []
-        for a, b in zip([0, *ends], ends):
-            piece = payload[a * width : b * width]
+        for a, b in zip([start, *own], own):
+            piece = payload[a * size : b * size]
             leaves.append(name := digest(piece))
             chunks[name] = piece
-        counts.append(len(ids))
         recipes.append(b"".join(leaves))
-        lengths.append(np.diff([0, *ends]).tolist())
+        lengths.append([b - a for a, b in zip([start, *own], own)])
         roots.append(merkle_root(leaves))
-    m, k = len(encoded), len(chunks)
-    size = int(np.dtype(kind).itemsize)
+    counts = np.diff(ends, prepend=0).tolist()
+    m, k = len(recipes), len(chunks)
     columns = [
         pa.concat_arrays([doc_ids, pa.nulls(k, doc_ids.type)]),
         pa.array(counts + [None] * k, pa.int64()),

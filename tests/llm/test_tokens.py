@@ -100,6 +100,9 @@ def test_equal_passages_share_chunks():
     names = [{token_store.digest(ids[a:b].tobytes()) for a, b in zip([0, *token_store.cut(ids)], token_store.cut(ids))} for ids in (first, second)]
     assert len(names[0] & names[1]) > 15
     assert token_store.cut(np.array([], np.uint16)) == []
+    ends = np.cumsum([len(first), len(second)])
+    both = token_store.cut_all(np.concatenate([first, second]), ends)
+    assert both == [token_store.cut(first), [len(first) + c for c in token_store.cut(second)]]
 
 
 def test_corrupt_chunk_is_found(spark):
