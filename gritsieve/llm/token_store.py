@@ -43,6 +43,8 @@ MEMO = 1 << 21
 LONG_CHUNK = 64
 #: Bytes of text worked on at once.
 BATCH_BYTES = 1 << 23
+#: Bytes of text whose chunks are looked up at once.
+GROUP_BYTES = 1 << 25
 _MULTIPLIER = 0xD1342543DE82EF95
 _MASK64 = (1 << 64) - 1
 
@@ -243,19 +245,22 @@ class Encoder:
         self.flat = np.concatenate([self.flat, kept])
         return flat, starts, lengths
 
-    def encode_many(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, the end id after each, one after another; and where each ends."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = split.flatten().dictionary_encode()
+    def encode_many(self, batches: list[pa.Array], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each batch of texts, their ids with the end id after each, one after another; and where each ends. Chunks are looked up once for all."""
+        splits = [pc.ascii_split_whitespace(texts.fill_null("")) for texts in batches]
+        flats = [s.flatten() for s in splits]
+        coded = pa.concat_arrays(flats).dictionary_encode()
         flat, starts, lengths = self._ids_of(coded.dictionary)
-        order = coded.indices.to_numpy()
-        n = lengths[order]
-        past = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        at = np.repeat(starts[order] - past[:-1], n)
-        at += np.arange(len(at))
-        words = split.offsets.to_numpy()
-        ends = past[words[1:] - words[0]]
-        return np.insert(flat[at], ends, end), ends + np.arange(1, len(ends) + 1)
+        codes = np.split(coded.indices.to_numpy(), np.cumsum([len(f) for f in flats])[:-1])
+        del flats, coded
+        for split, order in zip(splits, codes):
+            n = lengths[order]
+            past = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+            at = np.repeat(starts[order] - past[:-1], n)
+            at += np.arange(len(at))
+            words = split.offsets.to_numpy()
+            ends = past[words[1:] - words[0]]
+            yield np.insert(flat[at], ends, end), ends + np.arange(1, len(ends) + 1)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -281,10 +286,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
-            for part in portions(sizes, BATCH_BYTES):
-                yield _pieces(batch.column(0)[part], *own.encode_many(batch.column(1)[part], end_id), schema)
+        for group in _grouped(batches):
+            for batch, (ids, ends) in zip(group, own.encode_many([b.column(1) for b in group], end_id)):
+                yield _pieces(batch.column(0), ids, ends, schema)
 
     kind = docs.schema["doc_id"].dataType
     ddl = _PIECES.replace("doc_id", id_field(docs), 1)
@@ -305,6 +309,21 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> No
     _with_starts(listed).write.option("compression", "zstd").parquet(f"{folder}/recipes")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches by GROUP_BYTES, none of more than BATCH_BYTES unless a single text is longer."""
+    group: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in portions(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), BATCH_BYTES):
+            group.append(batch.slice(part.start, part.stop - part.start))
+            size += group[-1].nbytes
+            if size >= GROUP_BYTES:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def _has(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

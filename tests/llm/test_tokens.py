@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -87,6 +88,16 @@ def test_store_of_odd_rows(spark, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+def test_groups_of_batches(monkeypatch):
+    own, library = token_store.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    for most in (token_store.MEMO, 3):
+        monkeypatch.setattr(token_store, "MEMO", most)
+        batches = [["a b c", None], [], ["", " "], [None], odd_texts(), ["c a", "b" * 5000]]
+        for texts, (ids, ends) in zip(batches, own.encode_many([pa.array(t, pa.string()) for t in batches], 1), strict=True):
+            want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+            assert [p.tolist() for p in np.split(ids, ends)[:-1]] == want
+
+
 def test_store_of_no_rows(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_store.write_store(docs, str(tmp_path / "s"), WORDS, 1)
