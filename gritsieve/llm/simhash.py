@@ -75,15 +75,19 @@ def links_within_radius(prints: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).distinct()
 
 
+def _with_component(rooted: DataFrame) -> DataFrame:
+    """Adds component_id, the least first_id of a root's rows; a large component's rows don't meet in one task."""
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
+    return join_by_key(rooted, least, "root", "members", rooted.count())
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id."""
     printed = materialize(with_fingerprints(docs))
-    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     found = connected_components(links_within_radius(classes.select("fp")))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    sizes = printed.groupBy("fp").agg(F.count("*").alias("n"))
-    named = materialize(rooted.join(least, "root").join(sizes, "fp").select("fp", "component_id", "n"))
+    rooted = materialize(classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
+    named = materialize(_with_component(rooted).select("fp", "component_id", "n"))
     return join_by_key(printed, named, "fp", "n", printed.count()).select("doc_id", "fp", "component_id")
 
 
@@ -200,9 +204,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, similarity: float =
     members = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = classes.select("id", "shingles").join(members, "id", "left_semi")
     found = connected_components(verified(pairs, sets, similarity))
-    rooted = classes.select("class", "id", "first_id", "n").join(found, F.col("id") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("class", "component_id", "n"))
+    rooted = materialize(classes.select("class", "id", "first_id", "n").join(found, F.col("id") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "id").alias("root")))
+    named = materialize(_with_component(rooted).select("class", "component_id", "n"))
     return join_by_key(rows.select("doc_id", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id")
 
 
