@@ -44,7 +44,7 @@ LONG_CHUNK = 64
 #: Bytes of text worked on at once.
 BATCH_BYTES = 1 << 23
 #: Bytes of text whose chunks are looked up at once.
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 1 << 24
 _MULTIPLIER = 0xD1342543DE82EF95
 _MASK64 = (1 << 64) - 1
 
