@@ -34,7 +34,7 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 
 NONE = 1 << 30
-MEMO = 1 << 18
+MEMO = 1 << 19
 LONG_CHUNK = 64
 LONG_PIECE = 64
 #: Characters of text worked on at once, and so what a Python worker holds.
