@@ -37,6 +37,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of rows in one Arrow batch, and so much of what a Python worker holds.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_field, join_by_key, map_arrow, materialize, words_of
+from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -201,6 +201,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, similarity: float =
     firsts = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("prints").alias("prints"), F.first("least").alias("least"), F.first("shingles").alias("shingles"))
     classes = materialize(firsts.withColumn("id", F.monotonically_increasing_id()))
     pairs = materialize(candidate_pairs(classes.select("id", "prints", "least")))
+    drop_finished(docs.sparkSession)  # the variants are by far the largest step
     members = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = classes.select("id", "shingles").join(members, "id", "left_semi")
     found = connected_components(verified(pairs, sets, similarity))
