@@ -22,12 +22,13 @@ COLUMNS = ("file_path", "line_number", "finding_type", "severity", "matched_cont
 ORDER = ("phase", "detector_ord")
 
 
-def _matches(text: Column, detector: Detector, java: str) -> Column:
+def _matches(text: Column, detector: Detector, java: str, gates: dict[str, Column] | None = None) -> Column:
+    """gates: columns that have the results of gate expressions already."""
     conditions = []
     if detector.literals:
         conditions.append(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in detector.literals]))
     if detector.gate:
-        conditions.append(text.rlike(detector.gate))
+        conditions.append(gates[detector.gate] if gates else text.rlike(detector.gate))
     return reduce(lambda a, b: a & b, [*conditions, text.rlike(java)])
 
 
@@ -55,8 +56,11 @@ def match_lines(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
         return _empty(docs)
     javas = [d.java for d in detectors]
     content, line = F.col("content"), F.col("line")
-    tests = [F.lit(i) if d.anchored else F.when(_matches(content, d, j), i) for i, (d, j) in enumerate(zip(detectors, javas))]
-    hit = docs.select("path", "content", F.array_compact(F.array(*tests)).alias("hits")).where(F.size("hits") > 0)
+    # Several detectors share a gate, which is worked out once for each text.
+    gates = {g: F.col(f"gate{i}") for i, g in enumerate(sorted({d.gate for d in detectors if d.gate}))}
+    gated = docs.select("path", "content", *[content.rlike(g).alias(f"gate{i}") for i, g in enumerate(gates)])
+    tests = [F.lit(i) if d.anchored else F.when(_matches(content, d, j, gates), i) for i, (d, j) in enumerate(zip(detectors, javas))]
+    hit = gated.select("path", "content", F.array_compact(F.array(*tests)).alias("hits")).where(F.size("hits") > 0)
     lines = hit.select("path", "hits", F.posexplode(lines_of(content)).alias("at", "line"))
     found = [F.when(F.array_contains("hits", i) & _matches(line, d, j), F.struct(F.lit(i).alias("d"), F.regexp_extract(line, j, 0).alias("matched_content"))) for i, (d, j) in enumerate(zip(detectors, javas))]
     rows = lines.select("path", "at", F.explode(F.array_compact(F.array(*found))).alias("f")).select("path", "at", "f.d", "f.matched_content")
