@@ -16,6 +16,7 @@ Repeated rows appear as often as they came. An empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,81 +94,110 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 # -- similar texts ---------------------------------------------------------------------------
 #
-# Fingerprints of whole shingles are too far apart, at radius 2, for texts that share 80 % of
-# their five-word shingles. Here votes are cast by words, as often as they come, under several
-# hashes, which brings such texts within the radius under some hash. Texts that meet under a variant
-# and whose shingles have the same least hash are candidates, and these are verified by the
-# Jaccard similarity of their shingle sets.
-#
-# Under a variant a text is compared with its neighbours in an order that differs by hash, not with
-# all: large groups meet under many variants, and a component needs no more than a path.
-
-WORDS, SIMILARITY, HASHES = 5, 0.8, 6
-#: Shingle hashes kept of a text, the least ones. Two texts with no more have their exact similarity; else it is estimated, with a standard error of 0.025 at 0.8.
+# Fingerprints are too far apart, at radius 2, for texts that share 80 % of their five-word
+# shingles, under any number of hashes that fits. The stage for similar texts therefore filters by
+# prefixes: of two sets of shingles in one order, with a similarity of at least t, the first
+# n - ceil(t n) + 1 members of each (n: its size) have one in common. Texts that have are
+# candidates, whatever the edit; no similar pair is lost. Shingles that are frequent in a sample of
+# texts come last in the order, which keeps groups small; any order gives the same result.
+
+WORDS, SIMILARITY = 5, 0.8
+#: Shingle hashes in a sketch, the least ones. Two texts with no more have their exact similarity; else it is estimated, with a standard error of 0.025 at 0.8.
 KEPT = 256
-_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(16)]
+#: Texts in which frequent shingles are counted, at most so many on average; in how many a shingle is frequent; and how many are sent to tasks at most.
+SAMPLE, FREQUENT, MAX_FREQUENT = 8000, 3, 1 << 17
+_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(2)]
 
 
-def _scrambled(x: np.ndarray, k: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30 - k % 8))) * _ODD[k]
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _ODD[0]
     return x ^ (x >> np.uint64(29))
 
 
-def sketch(text: str | None, words: int = WORDS) -> tuple[list[int], list[int], bytes]:
-    """Fingerprints and least shingle hashes, one of each a hash function, and the KEPT least of the set of shingle hashes (ascending, 32 bits each; one more value than KEPT tells that there are more)."""
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles, ascending, each once; a text of fewer words is one shingle."""
     tokens = words_of(text)
     if not tokens:
-        return [0] * HASHES, [0] * HASHES, b""
-    counts: dict[bytes, int] = {}
-    for t in tokens:
-        counts[t] = counts.get(t, 0) + 1
-    names = {t: i for i, t in enumerate(counts)}
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(t, SEED) for t in counts]), ">u8").astype(np.uint64)
-    weights = np.fromiter(counts.values(), np.float32, len(counts))
+        return np.zeros(0, np.uint64)
+    names = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(t, SEED) for t in names]), ">u8").astype(np.uint64)
     row = hashes[np.fromiter(map(names.__getitem__, tokens), np.int64, len(tokens))]
     span = min(words, len(tokens))
     rolled = np.zeros(len(tokens) - span + 1, np.uint64)
     for k in range(span):
         rolled = rolled * _ODD[1] + row[k : len(tokens) - span + 1 + k]
-    shingles = _scrambled(rolled, 0)
-    prints, least = [], []
-    for k in range(HASHES):
-        raw = _scrambled(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8)
-        votes = np.zeros(64, np.float64)
-        for at in range(0, len(raw), _CHUNK):
-            votes += weights[at : at + _CHUNK] @ np.unpackbits(raw[at : at + _CHUNK], axis=1).astype(np.float32)
-        prints.append(int.from_bytes(np.packbits(votes * 2 > len(tokens)).tobytes(), "big"))
-        least.append(int(_scrambled(shingles, k).min()))
-    return prints, least, np.unique((shingles >> np.uint64(32)).astype(np.uint32))[: KEPT + 1].tobytes()
+    return np.unique(_scrambled(rolled))
+
+
+def least_of(shingles: np.ndarray) -> bytes:
+    """The KEPT least of a set of shingle hashes (ascending, 32 bits each; one more value than KEPT tells that there are more)."""
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[: KEPT + 1].tobytes()
+
 
+def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
+    """The set of shingle hashes, and the least of them."""
+    shingles = shingle_set(text, words)
+    return shingles.tobytes(), least_of(shingles)
 
-def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, class, prints, least, shingles): texts with the same sketch are one class."""
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a set, frequent ones last, of which any set of that similarity has one among its own first."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    late = np.isin(shingles, frequent, assume_unique=True)
+    return np.concatenate([shingles[~late], shingles[late]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that are frequent in a sample of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda rows: pa.array(np.array(rows, np.uint64).view(np.int64).reshape(-1, HASHES).tolist(), pa.list_(pa.int64()))
         for batch in batches:
-            made = [sketch(t, words) for t in batch.column(1).to_pylist()]
-            classes = np.array([xxhash.xxh64_intdigest(np.array([*m[0], *m[1]], np.uint64).tobytes() + m[2]) for m in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes), signed([m[0] for m in made]), signed([m[1] for m in made]), pa.array([m[2] for m in made], pa.binary())], names=["doc_id", "class", "prints", "least", "shingles"])
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in batch.column(0).to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, class long, prints array<long>, least array<long>, shingles binary")
+    one_of = max(1, docs.count() // SAMPLE)
+    counted = map_arrow(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0).select("text"), run, "shingle long, n long")
+    often = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT)
+    return np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """classes: id, prints, least. Distinct (u, v) of classes that meet under a variant with the same least hash.
+def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, class, n_shingles, prefix, shingles): texts with the same set of shingles are one class."""
+    frequent = _frequent(docs, words)
 
-    Under each variant a class meets the one before it in an order that differs by hash function.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            firsts = pa.array([prefix(s, frequent, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "class", "n_shingles", "prefix", "shingles"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, class long, n_shingles int, prefix array<long>, shingles binary")
+
+
+def _meeting(sets: DataFrame) -> DataFrame:
+    """sets: id, n_shingles, prefix. (token, id, size, before, hub) for each member of a prefix that some other set's prefix has.
+
+    Before and hub are another set of the token and its size; orders differ by token.
     """
-    each = classes.select("id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(HASHES - 1)).alias("k"), "prints", "least")).alias("e"))
-    one = each.select("id", F.col("e.k").alias("k"), F.col("e.prints").alias("fp"), F.col("e.least").alias("least"))
-    variants = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_bit(i)) for i in range(64)])
-    meeting = F.xxhash64("k", "least", "variant").bitwiseAND(F.lit((1 << 48) - 8)).bitwiseOR(F.col("k"))  # 48 bits, for the shuffle's sake; k in the lowest
-    emitted = one.select("id", "k", "least", F.explode(variants).alias("variant")).select("id", meeting.alias("meeting"))
-    turned = emitted.repartition("meeting").withColumn("turn", F.xxhash64("id", F.col("meeting") % 8))
-    before = F.lag("id").over(Window.partitionBy("meeting").orderBy("turn"))
-    met = turned.select("id", before.alias("other")).where("other <> id")
-    return met.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+    emitted = sets.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token"))
+    one = F.struct("id", "size")
+    turn = Window.partitionBy("token").orderBy(F.xxhash64("id", "token"))
+    met = emitted.select("token", "id", "size", F.lag(one).over(turn).alias("before"), F.first(one).over(turn).alias("hub"), F.lead("id").over(turn).alias("after"))
+    return met.where("before is not null or after is not null").drop("after")
+
+
+def _ordered(u: Column, v: Column) -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v) of sets of near enough size: each with the one before it and the first under each token."""
+    other = met.select("id", "size", F.explode(F.array("before", "hub")).alias("o")).where("o is not null and o.id <> id")
+    near = other.where(F.least("size", "o.size") >= F.greatest("size", "o.size") * similarity - 1e-6)
+    return near.select(*_ordered(F.col("id"), F.col("o.id"))).distinct()
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -190,22 +220,23 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     @F.arrow_udf("double")
     def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(map(jaccard, a.to_pylist(), b.to_pylist()), pa.float64())
+        read = lambda s: least_of(np.frombuffer(s, np.uint64))
+        return pa.array([jaccard(read(x), read(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     return pairs.join(left, "u").join(right, "v").where(likeness("a", "b") >= similarity).select("u", "v")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
-    rows = materialize(_sketched(docs, words))
-    firsts = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("prints").alias("prints"), F.first("least").alias("least"), F.first("shingles").alias("shingles"))
-    classes = materialize(firsts.withColumn("id", F.monotonically_increasing_id()))
-    pairs = materialize(candidate_pairs(classes.select("id", "prints", "least")))
-    drop_finished(docs.sparkSession)  # the variants are by far the largest step
-    members = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = classes.select("id", "shingles").join(members, "id", "left_semi")
-    found = connected_components(verified(pairs, sets, similarity))
-    rooted = materialize(classes.select("class", "id", "first_id", "n").join(found, F.col("id") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "id").alias("root")))
+    rows = materialize(_sketched(docs, words, similarity).withColumn("row", F.monotonically_increasing_id()))
+    classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row").alias("row")))
+    extra = rows.select("class", "row").join(classes.where("n > 1").select("class", F.col("row").alias("kept")), "class").where("row <> kept")
+    sets = rows.join(extra.select("row"), "row", "left_anti").select(F.col("class").alias("id"), "n_shingles", "prefix", "shingles")
+    met = materialize(_meeting(sets.select("id", "n_shingles", "prefix")))
+    pairs = materialize(first_pairs(met, similarity))
+    drop_finished(docs.sparkSession)
+    found = connected_components(verified(pairs, sets.select("id", "shingles"), similarity))
+    rooted = materialize(classes.join(found, F.col("class") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "class").alias("root")))
     named = materialize(_with_component(rooted).select("class", "component_id", "n"))
     return join_by_key(rows.select("doc_id", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id")
 

@@ -199,3 +199,23 @@ def test_sketch_does_not_depend_on_its_parts(monkeypatch):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     assert {(r.node, r.root) for r in components.connected_components(edges).collect()} == {(i, 0) for i in range(201)} | {(500, 500), (501, 500)}
+
+
+def block_edits(rng, words, similarity):
+    """A text and a copy of it cut at the end, so that they have about that similarity."""
+    return words, words[: int((len(words) - 4) * similarity) + 5]
+
+
+def test_cut_copies_of_flat_texts_are_found(spark):
+    rng = random.Random(31)
+    rows, pairs = [], []
+    for n in (30, 100, 300, 1000, 3000):
+        for _ in range(8):
+            for words in block_edits(rng, [f"w{rng.randrange(10**6)}" for _ in range(n)], rng.uniform(0.81, 0.88)):
+                rows.append((len(rows), " ".join(words)))
+            pairs.append((len(rows) - 2, len(rows) - 1))
+    assert all(jaccard(five_word_shingles(rows[a][1]), five_word_shingles(rows[b][1])) >= 0.8 for a, b in pairs)
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, rows)).collect()}
+    recall = sum(found[a] == found[b] for a, b in pairs)
+    print("cut copies found:", recall, "of", len(pairs))
+    assert recall >= 39 and len(set(found.values())) >= len(pairs)
