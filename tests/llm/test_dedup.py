@@ -218,4 +218,15 @@ def test_cut_copies_of_flat_texts_are_found(spark):
     found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, rows)).collect()}
     recall = sum(found[a] == found[b] for a, b in pairs)
     print("cut copies found:", recall, "of", len(pairs))
-    assert recall >= 39 and len(set(found.values())) >= len(pairs)
+    assert recall == len(pairs) and len(set(found.values())) == len(pairs)
+
+
+def test_long_texts_are_verified_exactly(spark):
+    rng = random.Random(32)
+    rows = []
+    for k in range(30):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(1004)]
+        n = 800 if k % 2 else 798
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4]))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, rows)).collect()}
+    assert [found[2 * k + 1] == 2 * k for k in range(30)] == [k % 2 == 1 for k in range(30)]
