@@ -108,6 +108,8 @@ KEPT = 256
 MARGIN = 0.2
 #: Texts in which frequent shingles are counted, at most so many on average; in how many a shingle is frequent; and how many are sent to tasks at most.
 SAMPLE, FREQUENT, MAX_FREQUENT = 8000, 3, 1 << 17
+#: Of a token with more sets a hub is tried before all pairs are; and so many sets of a token meet in one lot.
+MANY, LOT = 32, 256
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(2)]
 
 
@@ -202,6 +204,41 @@ def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return near.select(*_ordered(F.col("id"), F.col("o.id"))).distinct()
 
 
+def members_apart(met: DataFrame, found: DataFrame) -> DataFrame:
+    """met with root and members (of the token), for tokens whose sets lie in more than one component so far. found: node, root."""
+    rooted = met.select("token", "id", "size").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    token = Window.partitionBy("token")
+    spread = rooted.withColumn("lo", F.min("root").over(token)).withColumn("hi", F.max("root").over(token)).withColumn("members", F.count("*").over(token))
+    return spread.where("lo <> hi").drop("lo", "hi")
+
+
+def hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v) under large tokens: the set with most links, and each set of another component."""
+    degrees = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = apart.where(F.col("members") > MANY).join(degrees, "id", "left")
+    hub = F.max_by(F.struct("id", "size", "root"), F.struct(F.coalesce("degree", F.lit(0)), "id")).over(Window.partitionBy("token"))
+    other = known.select("id", "size", "root", hub.alias("o")).where("root <> o.root")
+    near = other.where(F.least("size", "o.size") >= F.greatest("size", "o.size") * similarity - 1e-6)
+    return near.select(*_ordered(F.col("id"), F.col("o.id"))).distinct()
+
+
+def remaining_pairs(apart: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (u, v): all pairs of sets of different components that may have the similarity.
+
+    Sets share no more than their common tokens and what lies behind one's prefix, so pairs with
+    too few common tokens are out. A large token's sets are dealt in lots, and each two lots meet in a group of their own.
+    """
+    lots = F.ceil(F.col("members") / LOT).cast("int")
+    dealt = apart.withColumn("lot", F.pmod(F.xxhash64("id"), lots).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), lots - 1)))
+    keyed = materialize(dealt.select("token", F.least("lot", "with").alias("low"), F.greatest("lot", "with").alias("high"), "lot", "id", "size", "root"))
+    left, right = (keyed.select("token", "low", "high", *(F.col(c).alias(c + side) for c in ("lot", "id", "size", "root"))) for side in "ab")
+    near = F.least("sizea", "sizeb") >= F.greatest("sizea", "sizeb") * similarity - 1e-6
+    both = left.join(right, ["token", "low", "high"]).where("ida < idb and roota <> rootb and (low = high or lota <> lotb)").where(near)
+    common = both.groupBy(F.col("ida").alias("u"), F.col("idb").alias("v")).agg(F.count("*").alias("common"), F.first("sizea").alias("m"), F.first("sizeb").alias("n"))
+    behind = F.ceil(F.greatest("m", "n") * similarity - 1e-9) - 1
+    return common.where(F.col("common") + behind >= (F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v")
+
+
 def jaccard(x: bytes, y: bytes) -> float:
     """Similarity of two shingle sets, from their least hashes."""
     a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
@@ -249,6 +286,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return compared(likely, lambda name: side(likely, name), exact("a", "b"), similarity)
 
 
+def _linked(met: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of all pairs of that similarity.
+
+    Few pairs a token link most of a group of copies; sets still in different components under
+    one token are compared with the hub of most links, and then each with each.
+    """
+    links = materialize(verified(pairs, sets, similarity))
+    found = materialize(connected_components(links))
+    apart = materialize(members_apart(met, found))
+    if not apart.where(F.col("members") > MANY).isEmpty():
+        more = materialize(hub_pairs(apart, links, similarity).join(pairs, ["u", "v"], "left_anti"))
+        links = materialize(links.unionByName(verified(more, sets, similarity)))
+        pairs = pairs.unionByName(more)
+        found = materialize(connected_components(links))
+        apart = materialize(members_apart(apart, found))
+    if apart.isEmpty():
+        return found
+    rest = materialize(remaining_pairs(apart, similarity).join(pairs, ["u", "v"], "left_anti"))
+    drop_finished(sets.sparkSession)
+    return connected_components(links.unionByName(verified(rest, sets, similarity)))
+
+
 def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
     rows = materialize(_sketched(docs, words, similarity).withColumn("row", F.monotonically_increasing_id()))
@@ -258,7 +317,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, similarity: float =
     met = materialize(_meeting(sets.select("id", "n_shingles", "prefix")))
     pairs = materialize(first_pairs(met, similarity))
     drop_finished(docs.sparkSession)
-    found = connected_components(verified(pairs, sets.select("id", "shingles"), similarity))
+    found = _linked(met, pairs, sets.select("id", "shingles"), similarity)
     rooted = materialize(classes.join(found, F.col("class") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "class").alias("root")))
     named = materialize(_with_component(rooted).select("class", "component_id", "n"))
     return join_by_key(rows.select("doc_id", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id")

@@ -230,3 +230,36 @@ def test_long_texts_are_verified_exactly(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4]))]
     found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, rows)).collect()}
     assert [found[2 * k + 1] == 2 * k for k in range(30)] == [k % 2 == 1 for k in range(30)]
+
+
+def brute_similar(texts):
+    """The component of each text under exact similarity of all pairs."""
+    sets = [five_word_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if root[i] != root[j] and small >= 0.8 * large and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("lot", [None, 20])
+def test_spokes_of_a_hub_and_pairs_among_strangers(spark, monkeypatch, lot):
+    if lot:
+        monkeypatch.setattr(simhash, "LOT", lot)
+        monkeypatch.setattr(simhash, "MANY", 10**9)
+    rng = random.Random(33)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    hub = new(44)
+    texts = [" ".join(hub)] + [" ".join(hub + new(6)) for _ in range(300)]  # 0.87 to the hub, 0.77 to each other
+    plate = new(40)
+    own = new(12)
+    for k in range(120):  # the same boilerplate; every tenth is like the one before
+        own = new(12) if k % 10 else own[:-1] + new(1)
+        texts.append(" ".join(plate + own))
+    rng.shuffle(texts)
+    wanted = brute_similar(texts)
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, list(enumerate(texts)))).collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
