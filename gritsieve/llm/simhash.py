@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, words_of
+from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, text_or_empty, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -51,15 +51,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """16 bytes that tell rows of different id or text apart."""
+    whole = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\0"), text_or_empty())
+    return F.unhex(F.md5(whole.cast("binary")))
+
+
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp, row_key): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "row_key"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, fp long")
+    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, fp long, row_key binary")
 
 
 def _bit(i: int) -> Column:
@@ -83,13 +89,13 @@ def _with_component(rooted: DataFrame) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id."""
+    """One row per row of docs: doc_id, fp, component_id, root (which tells components apart that have no id), row_key."""
     printed = materialize(with_fingerprints(docs))
     classes = materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     found = connected_components(links_within_radius(classes.select("fp")))
     rooted = materialize(classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
-    named = materialize(_with_component(rooted).select("fp", "component_id", "n"))
-    return join_by_key(printed, named, "fp", "n", printed.count()).select("doc_id", "fp", "component_id")
+    named = materialize(_with_component(rooted).select("fp", "component_id", "root", "n"))
+    return join_by_key(printed, named, "fp", "n", printed.count()).select("doc_id", "fp", "component_id", "root", "row_key")
 
 
 # -- similar texts ---------------------------------------------------------------------------
@@ -168,7 +174,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, class, n_shingles, prefix, shingles): texts with the same set of shingles are one class."""
+    """(doc_id, row_key, class, n_shingles, prefix, shingles): texts with the same set of shingles are one class."""
     frequent = _frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +182,9 @@ def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(s, frequent, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "class", "n_shingles", "prefix", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n_shingles", "prefix", "shingles"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"{id_field(docs)}, class long, n_shingles int, prefix array<long>, shingles binary")
+    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, row_key binary, class long, n_shingles int, prefix array<long>, shingles binary")
 
 
 def _meeting(sets: DataFrame) -> DataFrame:
@@ -309,7 +315,7 @@ def _linked(met: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
+    """(doc_id, component_id, root, row_key) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
     rows = materialize(_sketched(docs, words, similarity).withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row").alias("row")))
     extra = rows.select("class", "row").join(classes.where("n > 1").select("class", F.col("row").alias("kept")), "class").where("row <> kept")
@@ -319,24 +325,20 @@ def similar_components(docs: DataFrame, words: int = WORDS, similarity: float =
     drop_finished(docs.sparkSession)
     found = _linked(met, pairs, sets.select("id", "shingles"), similarity)
     rooted = materialize(classes.join(found, F.col("class") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "class").alias("root")))
-    named = materialize(_with_component(rooted).select("class", "component_id", "n"))
-    return join_by_key(rows.select("doc_id", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id")
+    named = materialize(_with_component(rooted).select("class", "component_id", "root", "n"))
+    return join_by_key(rows.select("doc_id", "row_key", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id", "root", "row_key")
 
 
 def keep_one_of_each_component(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stay, whole: of each component (doc_id, component_id) the smallest id.
+    """The rows of docs that stay, whole: one of each component (doc_id, root, row_key), that of the smallest id.
 
-    Rows of one id count once: the one whose text hashes lowest stays. Rows without an id count as
-    one, which stays if some component has no id.
+    Rows without an id come after those that have one; rows of one id are told apart by their texts.
     """
     tag = "__row"
     while tag in docs.columns:
         tag += "_"
-    found = materialize(found.select("doc_id", "component_id"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    stays = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    stays = stays.withColumn(tag, order).where(F.col(tag) == 1).drop(tag)
-    if found.where("component_id is null").isEmpty():
-        return stays
-    return stays.unionByName(docs.where("doc_id is null").orderBy(F.xxhash64("text")).limit(1))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    kept = materialize(found.groupBy("root").agg(first).select(F.col("first.row_key").alias(tag)))
+    stays = docs.withColumn(tag, row_key(docs)).join(kept, tag, "left_semi")
+    once = F.row_number().over(Window.partitionBy(tag).orderBy("doc_id"))  # rows alike in id and text
+    return stays.withColumn(tag, once).where(F.col(tag) == 1).select(docs.columns)

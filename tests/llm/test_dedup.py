@@ -263,3 +263,16 @@ def test_spokes_of_a_hub_and_pairs_among_strangers(spark, monkeypatch, lot):
     wanted = brute_similar(texts)
     found = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, list(enumerate(texts)))).collect()}
     assert [found[i] for i in range(len(texts))] == wanted
+
+
+def test_unrelated_rows_without_own_ids_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (None, texts[2]), (2, texts[4] + " x"), (None, texts[4]), (None, None), (3, texts[5]), (3, texts[6])]
+    docs = frame(spark, rows)
+    for components_of in (simhash.similar_components, simhash.near_duplicate_components):
+        kept = simhash.keep_one_of_each_component(docs, components_of(docs))
+        assert kept.columns == docs.columns
+        wanted = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (None, None), (3, texts[5]), (3, texts[6]), (2, texts[4] + " x")]
+        if components_of is simhash.near_duplicate_components:
+            wanted += [(None, texts[4])] if (simhash.fingerprint(texts[4]) ^ simhash.fingerprint(texts[4] + " x")).bit_count() > 2 else []
+        assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
