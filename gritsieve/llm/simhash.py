@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, text_or_empty, words_of
+from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, scratch, text_or_empty, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -116,6 +116,8 @@ MARGIN = 0.2
 SAMPLE, FREQUENT, MAX_FREQUENT = 8000, 3, 1 << 17
 #: Of a token with more sets a hub is tried before all pairs are; and so many sets of a token meet in one lot.
 MANY, LOT = 32, 256
+#: One in so many tokens gives the first pairs, which need only link most of what is alike.
+FIRST_OF = 8
 _ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(2)]
 
 
@@ -174,7 +176,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, row_key, class, n_shingles, prefix, shingles): texts with the same set of shingles are one class."""
+    """(doc_id, row_key, class, n_shingles, prefix): texts with the same set of shingles are one class."""
     frequent = _frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +184,29 @@ def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(s, frequent, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "row_key", "class", "n_shingles", "prefix", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts], names=["doc_id", "row_key", "class", "n_shingles", "prefix"])
 
-    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, row_key binary, class long, n_shingles int, prefix array<long>, shingles binary")
+    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, row_key binary, class long, n_shingles int, prefix array<long>")
 
 
 def _meeting(sets: DataFrame) -> DataFrame:
     """sets: id, n_shingles, prefix. (token, id, size, before, hub) for each member of a prefix that some other set's prefix has.
 
-    Before and hub are another set of the token and its size; orders differ by token.
+    Before and hub are another set of the token and its size, for one in FIRST_OF tokens; orders differ by token.
     """
     emitted = sets.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token"))
     one = F.struct("id", "size")
     turn = Window.partitionBy("token").orderBy(F.xxhash64("id", "token"))
     met = emitted.select("token", "id", "size", F.lag(one).over(turn).alias("before"), F.first(one).over(turn).alias("hub"), F.lead("id").over(turn).alias("after"))
-    return met.where("before is not null or after is not null").drop("after")
+    some = lambda c: F.when(F.pmod("token", F.lit(FIRST_OF)) == 0, F.col(c)).alias(c)
+    return met.where("before is not null or after is not null").select("token", "id", "size", some("before"), some("hub"))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage as materialize does, in fewer bytes."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def _ordered(u: Column, v: Column) -> list[Column]:
@@ -265,53 +275,54 @@ def exact_jaccard(x: bytes, y: bytes) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ids whose sets of shingles have at least that similarity, exactly. sets: id, shingles.
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """The pairs of ids whose texts' sets of shingles have at least that similarity, exactly. texts: id, text.
 
     Sketches drop what is far below it, by over six standard errors; whole sets travel for the rest alone.
     """
-    side = lambda kept, name: sets.join(kept.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
 
-    def compared(pairs: DataFrame, sets_of: Callable[[str], DataFrame], likeness: Column, least: float) -> DataFrame:
-        left, right = (sets_of(name).toDF(name, at) for name, at in (("u", "a"), ("v", "b")))
-        return pairs.join(left, "u").join(right, "v").where(likeness >= least).select("u", "v")
+    def sets_of(pairs: DataFrame, name: str, whole: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = (sketch(t, words)[0 if whole else 1] for t in batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.binary())], names=["id", "shingles"])
 
-    @F.arrow_udf("binary")
-    def least(shingles: pa.Array) -> pa.Array:
-        return pa.array([least_of(np.frombuffer(s, np.uint64)) for s in shingles.to_pylist()], pa.binary())
+        chosen = texts.join(pairs.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
+        return map_arrow(chosen.select("id", "text"), run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
-    @F.arrow_udf("double")
-    def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(map(jaccard, a.to_pylist(), b.to_pylist()), pa.float64())
+    def compared(pairs: DataFrame, likeness: Callable[[bytes, bytes], float], least: float, whole: bool) -> DataFrame:
+        @F.arrow_udf("double")
+        def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array(map(likeness, a.to_pylist(), b.to_pylist()), pa.float64())
 
-    @F.arrow_udf("double")
-    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(map(exact_jaccard, a.to_pylist(), b.to_pylist()), pa.float64())
+        left, right = (sets_of(pairs, name, whole).toDF(name, at) for name, at in (("u", "a"), ("v", "b")))
+        found = materialize(pairs.join(left, "u").join(right, "v").where(alike("a", "b") >= least).select("u", "v"))
+        drop_finished(pairs.sparkSession)
+        return found
 
-    likely = materialize(compared(pairs, lambda name: side(pairs, name).select("id", least("shingles")), estimate("a", "b"), similarity - MARGIN))
-    return compared(likely, lambda name: side(likely, name), exact("a", "b"), similarity)
+    return compared(compared(pairs, jaccard, similarity - MARGIN, False), exact_jaccard, similarity, True)
 
 
-def _linked(met: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _linked(met: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(node, root): components of all pairs of that similarity.
 
     Few pairs a token link most of a group of copies; sets still in different components under
     one token are compared with the hub of most links, and then each with each.
     """
-    links = materialize(verified(pairs, sets, similarity))
+    links = verified(pairs, texts, similarity, words)
     found = materialize(connected_components(links))
-    apart = materialize(members_apart(met, found))
+    apart = _stored(members_apart(met, found), "apart")
     if not apart.where(F.col("members") > MANY).isEmpty():
         more = materialize(hub_pairs(apart, links, similarity).join(pairs, ["u", "v"], "left_anti"))
-        links = materialize(links.unionByName(verified(more, sets, similarity)))
+        links = materialize(links.unionByName(verified(more, texts, similarity, words)))
         pairs = pairs.unionByName(more)
         found = materialize(connected_components(links))
-        apart = materialize(members_apart(apart, found))
+        apart = _stored(members_apart(apart, found), "apart")
     if apart.isEmpty():
         return found
     rest = materialize(remaining_pairs(apart, similarity).join(pairs, ["u", "v"], "left_anti"))
-    drop_finished(sets.sparkSession)
-    return connected_components(links.unionByName(verified(rest, sets, similarity)))
+    drop_finished(texts.sparkSession)
+    return connected_components(links.unionByName(verified(rest, texts, similarity, words)))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -319,11 +330,13 @@ def similar_components(docs: DataFrame, words: int = WORDS, similarity: float =
     rows = materialize(_sketched(docs, words, similarity).withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row").alias("row")))
     extra = rows.select("class", "row").join(classes.where("n > 1").select("class", F.col("row").alias("kept")), "class").where("row <> kept")
-    sets = rows.join(extra.select("row"), "row", "left_anti").select(F.col("class").alias("id"), "n_shingles", "prefix", "shingles")
-    met = materialize(_meeting(sets.select("id", "n_shingles", "prefix")))
+    sets = rows.join(extra.select("row"), "row", "left_anti").select(F.col("class").alias("id"), "row_key", "n_shingles", "prefix")
+    met = _stored(_meeting(sets.select("id", "n_shingles", "prefix")), "met")
     pairs = materialize(first_pairs(met, similarity))
     drop_finished(docs.sparkSession)
-    found = _linked(met, pairs, sets.select("id", "shingles"), similarity)
+    of_text = materialize(sets.join(met.select("id").distinct(), "id", "left_semi").select("id", "row_key"))
+    texts = docs.select("text", row_key(docs).alias("row_key")).join(of_text, "row_key").select("id", "text")
+    found = _linked(met, pairs, texts, similarity, words)
     rooted = materialize(classes.join(found, F.col("class") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "class").alias("root")))
     named = materialize(_with_component(rooted).select("class", "component_id", "root", "n"))
     return join_by_key(rows.select("doc_id", "row_key", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id", "root", "row_key")
