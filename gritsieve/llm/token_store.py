@@ -379,10 +379,12 @@ def _entries(recipes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, places, names, follow, counts = [], [], [], [], []
-            for start, recipe, lengths, root in zip(*(batch.column(c).to_pylist() for c in ("start", "chunks", "lengths", "root"))):
+            for start, total, recipe, lengths, root in zip(*(batch.column(c).to_pylist() for c in ("start", "n_tokens", "chunks", "lengths", "root"))):
                 leaves = [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST)]
                 if len(leaves) != len(lengths) or merkle_root(leaves) != root:
                     raise ValueError(f"the manifest of the document that starts at id {start} does not match its recipe")
+                if sum(lengths) != total:
+                    raise ValueError(f"the document that starts at id {start} has chunks of {sum(lengths)} tokens, but its recipe tells {total}")
                 starts += [start] * len(leaves)
                 places += range(len(leaves))
                 names += leaves
@@ -390,7 +392,7 @@ def _entries(recipes: DataFrame) -> DataFrame:
                 follow += (sum(lengths) - np.cumsum(lengths)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(places, pa.int32()), pa.array(follow, pa.int64()), pa.array(counts, pa.int32()), pa.array(names, pa.binary())], names=["start", "place", "following", "want", "digest"])
 
-    return map_arrow(recipes.select("start", "chunks", "lengths", "root"), run, "start long, place int, following long, want int, digest binary")
+    return map_arrow(recipes.select("start", "n_tokens", "chunks", "lengths", "root"), run, "start long, place int, following long, want int, digest binary")
 
 
 def checked_chunks(chunks: DataFrame) -> DataFrame:

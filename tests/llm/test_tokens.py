@@ -120,3 +120,12 @@ def test_corrupt_chunk_is_found(spark):
     bad = spark.createDataFrame([(b"0" * 16, 1, b"\x01\x00")], "digest binary, n int, ids binary")
     with pytest.raises(Exception, match="does not match its digest"):
         token_store.checked_chunks(bad).collect()
+
+
+def test_wrong_count_in_a_recipe_is_found(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "word " * 3000)], "doc_id long, text string")
+    token_store.write_store(docs, str(tmp_path / "s"), WORDS, 1)
+    recipes = token_store.read_recipes(spark, str(tmp_path / "s"))
+    assert token_store._entries(recipes).count() > 1
+    with pytest.raises(Exception, match="its recipe tells"):
+        token_store._entries(recipes.withColumn("n_tokens", recipes.n_tokens + 1)).collect()
