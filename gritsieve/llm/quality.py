@@ -5,9 +5,13 @@ boilerplate, and a document is kept if content lines hold KEEP_SHARE of its word
 fewer than LEAST_WORDS words, or with over half of their words in repeated windows of three,
 fail beforehand.
 
-Training: at most TRAIN_DOCS labelled documents (the lowest hashes of their ids) of at most
-TRAIN_LINES lines each; every line takes its document's quality label. The field's
-log-likelihood is climbed with Adam on the driver, which sees feature vectors only. Without
+Training: at most TRAIN_DOCS labelled documents (the lowest hashes of their ids), as long as
+fewer than TRAIN_LINES lines came before; their texts are whole, long ones in sequences of
+SEQUENCE lines. Labels are of documents, lines get theirs in steps. In good documents only a
+line's repeats are boilerplate. In bad ones all lines are at first; a field without transitions
+then gives back those that look like lines of good documents, though never a document's least
+content-like line, and a field with transitions is fitted to that and decodes them once more.
+The log-likelihood is climbed with Adam on the driver, which sees feature vectors only. Without
 labels of both kinds there is no field, and what passes the base rules is kept.
 
 Cases: a null text has no words and fails. Lines without a word are not labelled. Repeated rows
@@ -24,14 +28,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import id_field, map_arrow, portions
 
 LEAST_WORDS = 50
 KEEP_SHARE = 0.5
 TRAIN_DOCS = 3000
-TRAIN_LINES = 200
-ROUNDS = 120
+TRAIN_LINES = 200_000
+SEQUENCE = 32
+ROUNDS = 60
 RIDGE = 1e-3
 BATCH_BYTES = 1 << 22
 
@@ -56,6 +62,8 @@ def _byte_classes() -> np.ndarray:
 
 _CLASSES = _byte_classes()
 FEATURES = 11
+#: Which feature tells that an earlier line is equal.
+REPEATS = 9
 
 
 @dataclass(frozen=True)
@@ -207,21 +215,25 @@ def likelihood_gradient(x: np.ndarray, y: np.ndarray, real: np.ndarray, emission
     return float((score - norm).sum()), d_emission, d_transition
 
 
-def fit(sequences: list[np.ndarray], labels: list[int]) -> Field:
-    """Climbs the log-likelihood of equally labelled sequences; the same result for the same rows in any order."""
-    order = sorted(range(len(sequences)), key=lambda i: (len(sequences[i]), labels[i], sequences[i].tobytes()))
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], start: Field | None = None, chained: bool = True) -> Field:
+    """Climbs the log-likelihood of labelled sequences; the same result for the same rows in the same order.
+
+    Not chained: transitions stay zero, so that each line is judged by itself.
+    """
     longest = max(len(s) for s in sequences)
     x = np.zeros((len(sequences), longest, FEATURES))
     real = np.zeros((len(sequences), longest), bool)
     y = np.zeros((len(sequences), longest), int)
-    for row, i in enumerate(order):
+    for row, i in enumerate(sorted(range(len(sequences)), key=lambda i: len(sequences[i]))):
         x[row, : len(sequences[i])] = sequences[i]
         real[row, : len(sequences[i])] = True
-        y[row] = labels[i]
-    groups = [g for g in np.array_split(np.arange(len(order)), 8) if len(g)]
+        y[row, : len(sequences[i])] = labels[i]
+    if not chained:  # every line a sequence
+        x, y, real = x[real][:, None], y[real][:, None], np.ones((int(real.sum()), 1), bool)
+    groups = [g for g in np.array_split(np.arange(len(x)), 4) if len(g)]
     parts = [(x[g][:, : int(real[g].sum(axis=1).max())], y[g][:, : int(real[g].sum(axis=1).max())], real[g][:, : int(real[g].sum(axis=1).max())]) for g in groups]
     lines = real.sum()
-    theta = np.zeros(FEATURES * 2 + 4)
+    theta = np.zeros(FEATURES * 2 + 4) if start is None else np.concatenate([start.emission.ravel(), start.transition.ravel()])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, ROUNDS + 1):
         emission, transition = theta[:-4].reshape(FEATURES, 2), theta[-4:].reshape(2, 2)
@@ -235,21 +247,49 @@ def fit(sequences: list[np.ndarray], labels: list[int]) -> Field:
     return Field(theta[:-4].reshape(FEATURES, 2), theta[-4:].reshape(2, 2))
 
 
+def first_labels(features: np.ndarray, quality: int) -> np.ndarray:
+    """Labels of a document's lines before any field: bad documents have no content, good ones no boilerplate but repeats."""
+    return np.where(features[:, REPEATS] > 0, 0, 1) if quality else np.zeros(len(features), int)
+
+
+def relabelled(features: np.ndarray, field: Field) -> np.ndarray:
+    """Decoded labels of a bad document's lines, of which the least content-like stays boilerplate."""
+    emitted = features @ field.emission
+    labels = np.array(viterbi(emitted, field.transition))
+    labels[np.argmin(emitted[:, 1] - emitted[:, 0])] = 0
+    return labels
+
+
+def learn(pages: list[tuple[np.ndarray, int]]) -> Field | None:
+    """A field from documents' features and their quality, 0 or 1."""
+    if len({quality for _, quality in pages}) < 2:
+        return None
+    pages = sorted(pages, key=lambda p: (len(p[0]), p[1], p[0].tobytes()))
+    cuts = [range(SEQUENCE, len(f), SEQUENCE) for f, _ in pages]
+    pieces = lambda arrays: [part for a, c in zip(arrays, cuts) for part in np.split(a, c)]
+    sequences, labels, field = pieces([f for f, _ in pages]), [first_labels(f, q) for f, q in pages], None
+    for chained in (False, True, True):
+        field = fit(sequences, pieces(labels), field, chained)
+        labels = [own if q else relabelled(f, field) for (f, q), own in zip(pages, labels)]
+    return field
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """A field from labels (doc_id, quality 0 or 1) of documents."""
     chosen = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "quality").limit(TRAIN_DOCS)
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_DOCS rows
-    some = some.where(F.size(F.split("text", "\n")) <= TRAIN_LINES).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "quality").limit(TRAIN_DOCS)
+    order = [F.xxhash64("doc_id"), F.xxhash64("text"), F.col("quality")]
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(TRAIN_DOCS)  # TRAIN_DOCS rows, as chosen
+    lines = F.size(F.split("text", "\n"))
+    before = F.sum(lines).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # over TRAIN_DOCS rows
+    some = some.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [p.features.tobytes() for p in pages_of(batch.column(0))]
+            vectors = [p.features.astype(np.float32).tobytes() for p in pages_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(vectors, pa.binary())], names=["quality", "features"])
 
     rows = map_arrow(some.select("text", "quality"), run, "quality int, features binary").where("length(features) > 0").collect()
-    if len({r.quality for r in rows}) < 2:
-        return None
-    return fit([np.frombuffer(r.features, float).reshape(-1, FEATURES) for r in rows], [r.quality for r in rows])
+    return learn([(np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float), r.quality) for r in rows])
 
 
 def judge(page: Page, field: Field | None) -> tuple[bool, float]:
