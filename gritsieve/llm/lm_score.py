@@ -9,13 +9,19 @@ the state of h' at weight m / (c(h) + m). A document is read once from left to r
 carrying the state and adding up log-probabilities.
 
 The whole model is as large as the corpus's set of n-grams, so it is never in one place. Documents
-are cut into blocks of BLOCK_BYTES. Each block sends the hashes of its distinct n-grams, with
-its training counts, to buckets of the hash space; a bucket adds up and answers each block in
-the order it asked. A block then builds the part of the automaton that its documents can reach:
-memory is bounded by a block and a bucket at any size, the hottest word costs a key a block, and
-nothing is broadcast.
+are gathered in nodes of NODE_BYTES. A node asks for the corpus counts of its distinct n-grams, and
+builds, block by block, the part of the automaton that its documents can reach. Bigrams come
+first, with the words; of a longer order only n-grams whose history several nodes have are asked
+for, since of the rest a node has all occurrences itself.
 
-Learning takes rows outside fold HELD_OUT. N-grams are named by 62-bit hashes.
+The exchange sends each node's key hashes, sorted, in one frame for each of FAN parts of the
+hash space. If the parts would hold over PART_KEYS keys, they are merged in groups of FAN nodes
+and dealt once more, in FAN parts of each part, and so on: frames, memory and rows are in
+proportion to the input at any size, by the logarithm of the input to the base FAN. The hottest word costs a
+key a node, and nothing is broadcast.
+
+Learning takes rows outside fold HELD_OUT. N-grams are named by 62-bit hashes, words too: at 10^10
+distinct n-grams some ten pairs are expected to share a name (n(n-1)/2^63), and counts with it.
 
 Cases: a null text counts as empty and is its end token alone. A null id belongs to fold 0.
 Repeated rows count as often as they come. Without training rows all counts are 0. An empty table
@@ -36,16 +42,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, map_arrow, materialize, portions
+from .common import drop_finished, fold_remainder, hand_back, map_arrow, materialize, portions
 
 FOLDS = 5
 HELD_OUT = 1
-ORDER = 2
+ORDER = 3
 #: For orders 2, 3 and so on (the last entry for any beyond).
 MASSES = (300.0, 20.0)
-#: A third of an Arrow batch, so that no small blocks are left over.
+#: Text that one automaton is built for, and text that one node asks for.
 BLOCK_BYTES = 3_000_000
-BUCKET_KEYS = 400_000
+NODE_BYTES = 12_000_000
+#: Frames that a node sends in one step of the exchange, and keys that meet in one part at most.
+FAN = 2048
+PART_KEYS = 4_000_000
 
 #: No word has white space in it, so these are no word's hash input.
 _END = xxhash.xxh64_intdigest(b"\n end")
@@ -109,19 +118,6 @@ class Block:
         self.keys.append((key & ~np.uint64(3)) | np.uint64(min(n, 3)))
         self.counts.append(np.bincount(at, weights=learned[there], minlength=len(distinct)).astype(np.int64))
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All keys ascending, their training counts here, and the order that sorts them."""
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], counts[order], order
-
-    def answered(self, totals: np.ndarray) -> list[np.ndarray]:
-        """Corpus counts by order, from answers in the order of asked()."""
-        _, _, order = self.asked()
-        back = np.empty(len(order), np.int64)
-        back[order] = totals
-        return np.split(back, np.cumsum([len(k) for k in self.keys])[:-1])
-
 
 def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = history * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -213,6 +209,46 @@ def _suffix_places(block: Block, n: int) -> np.ndarray:
     return out
 
 
+# -- what a node knows ------------------------------------------------------------------------
+
+
+def _rounds(order: int) -> list[range]:
+    """Which orders are asked for together."""
+    return [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]
+
+
+class Counts:
+    """Of the distinct n-grams of a node, ascending: their keys, corpus counts, and whether other nodes have them too."""
+
+    def __init__(self, keys: np.ndarray, totals: np.ndarray, shared: np.ndarray):
+        self.keys, self.totals, self.shared = keys, totals, shared
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.totals[np.searchsorted(self.keys, keys)]
+
+
+def known_and_asked(blocks: list[Block], order: int, replies: list[np.ndarray]) -> tuple[list[Counts], tuple[np.ndarray, np.ndarray]]:
+    """Counts of the rounds that replies came for, and what the next round asks: keys ascending, and training counts here.
+
+    An n-gram whose history no other node has is in no other node either.
+    """
+    known: list[Counts] = []
+    for r, orders in enumerate(_rounds(order)):
+        some = [(b, n) for b in blocks for n in orders]
+        keys, first, at = np.unique(np.concatenate([b.keys[n - 1] for b, n in some]), return_index=True, return_inverse=True)
+        local = np.bincount(at, weights=np.concatenate([b.counts[n - 1] for b, n in some]), minlength=len(keys)).astype(np.int64)
+        ask = np.ones(len(keys), bool)
+        if r:
+            history = np.concatenate([b.keys[n - 2][b.contexts[n - 1]] for b, n in some])[first]
+            ask = known[-1].shared[np.searchsorted(known[-1].keys, history)]
+        if r == len(replies):
+            return known, (keys[ask], local[ask])
+        shared = np.zeros(len(keys), bool)
+        local[ask], shared[ask] = replies[r] >> 1, (replies[r] & 1).astype(bool)
+        known.append(Counts(keys, local, shared))
+    return known, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 # -- distribution --------------------------------------------------------------------------
 
 
@@ -228,89 +264,185 @@ def _unpacked(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def _blocks(docs: DataFrame, order: int) -> DataFrame:
-    """block, n_keys, and the documents of a block: ids, whether they are learnt from, and their texts, compressed."""
+def _smallest(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the first byte tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + _packed(counts.astype(f"<u{width}"))
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return _unpacked(blob[1:], f"<u{blob[0]}").astype(np.int64)
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob, "<u8"), dtype=np.uint64)
+
+
+_ASKED = "node long, part int, keys binary, counts binary"
+
+
+def _frames(node: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Ascending keys cut at the ends of as many equal parts of the hash space; no row for an empty one."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63))).tolist()
+    spans = list(zip(cuts, [*cuts[1:], len(keys)]))
+    rows = [(int(part[a]), _packed(np.diff(keys[a:z], prepend=np.uint64(0))), _smallest(counts[a:z])) for a, z in spans]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array([node] * len(rows), pa.int64()), *columns], names=["node", "part", "keys", "counts"])
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """node, and its documents: ids, whether they are held out, sizes in bytes, and texts, compressed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def gathered() -> pa.RecordBatch:
+            ids, out, texts = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, out, pc.binary_length(texts).cast(pa.int32()))]
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts.cast(pa.binary()).to_pylist()))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *listed, pa.array([blob], pa.binary())], names=["node", "ids", "held", "sizes", "texts"])
+
         for batch in batches:
-            texts = batch.column(2).fill_null("")
-            for part in portions(pc.binary_length(texts).to_pylist(), BLOCK_BYTES):
-                some = texts[part]
-                learning = pc.invert(batch.column(1)[part])
-                block = Block(some, learning.to_numpy(zero_copy_only=False), order)
-                blob = zstandard.ZstdCompressor(level=3).compress(b"".join(some.cast(pa.binary()).to_pylist()))
-                sizes = pc.binary_length(some).cast(pa.int32())
-                ids = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), batch.column(0)[part])
-                held = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), batch.column(1)[part])
-                lens = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, block.keys))], pa.int64()), ids, held, lens, pa.array([blob], pa.binary())], names=["block", "n_keys", "ids", "held", "sizes", "texts"])
-                number += 1
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).fill_null("")], names=["doc_id", "held", "text"])
+            for part in portions(pc.binary_length(batch.column(2)).to_pylist(), BLOCK_BYTES):
+                some = batch.slice(part.start, part.stop - part.start)
+                own = pc.sum(pc.binary_length(some.column(2))).as_py()
+                if held and size + own > NODE_BYTES:
+                    yield gathered()
+                    held, size, number = [], 0, number + 1
+                held.append(some)
+                size += own
+        if held:
+            yield gathered()
 
     held_out = (fold_remainder("doc_id", FOLDS) == HELD_OUT).alias("held")
-    return map_arrow(docs.select("doc_id", held_out, "text"), run, f"block long, n_keys long, ids array<{kind}>, held array<boolean>, sizes array<int>, texts binary")
+    return map_arrow(docs.select("doc_id", held_out, "text"), run, f"node long, ids array<{kind}>, held array<boolean>, sizes array<int>, texts binary")
 
 
-def _opened(sizes: pa.ListScalar, held: pa.ListScalar, texts: bytes, order: int) -> tuple[Block, np.ndarray]:
-    ends = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int32)
+def _opened(sizes: pa.ListScalar, held: pa.ListScalar, texts: bytes, order: int) -> list[Block]:
+    lengths = sizes.values.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     raw = zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, int(ends[-1])))
-    array = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw))
-    out = held.values.to_numpy(zero_copy_only=False)
-    return Block(array, ~out, order), out
+    array = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw))
+    learning = ~held.values.to_numpy(zero_copy_only=False)
+    return [Block(array[part], learning[part], order) for part in portions(lengths.tolist(), BLOCK_BYTES)]
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums, and the place of each key among them; a node has no key twice."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), at
+
+
+def _answered(nodes: list[int], parts: list[int], keys: list[np.ndarray], sums: np.ndarray, shared: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
+    """Rows of node, part, totals for all frames, whose keys' places are at: twice the sum, and one more if several nodes have the key."""
+    totals = (2 * sums + (shared | (np.bincount(at, minlength=len(sums)) > 1)))[at]
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    answers = [_smallest(totals[a:z]) for a, z in zip([0, *ends], ends)]
+    return {"node": pa.array(nodes, pa.int64()), "part": pa.array(parts, pa.int32()), "totals": pa.array(answers, pa.binary())}
+
+
+def exchange(asked: DataFrame, n_nodes: int, n_keys: int, parts: int = 0) -> DataFrame:
+    """asked: node, part, keys, counts, with parts (FAN at first) parts. Rows of node, part, totals; and tokens and types, the sums over distinct keys of words.
+
+    A part that would hold too many keys is first merged from groups of nodes and cut further.
+    """
+    parts = parts or FAN
+
+    def add_up(batches: pa.Table) -> pa.Table:
+        keys = [_keys(k) for k in batches["keys"].to_pylist()]
+        distinct, sums, at = _merged(keys, [_counts(c) for c in batches["counts"].to_pylist()])
+        words = sums[(distinct & np.uint64(3)) == 1]
+        rest = [0] * (len(keys) - 1)
+        answers = _answered(batches["node"].to_pylist(), batches["part"].to_pylist(), keys, sums, np.zeros(len(sums), bool), at)
+        return pa.table(answers | {"tokens": pa.array([int(words.sum()), *rest], pa.int64()), "types": pa.array([int((words > 0).sum()), *rest], pa.int64())})
+
+    schema = "node long, part int, totals binary, tokens long, types long"
+    if n_keys <= parts * PART_KEYS or parts * FAN >= 1 << 31:
+        return asked.groupBy("part").applyInArrow(add_up, schema)
+
+    groups = -(-n_nodes // FAN)
+    asked = materialize(asked.withColumn("mid", F.col("part").cast("long") * groups + F.pmod(F.xxhash64("node"), F.lit(groups))))
+
+    def merge(batches: pa.Table) -> pa.Table:
+        distinct, sums, _ = _merged([_keys(k) for k in batches["keys"].to_pylist()], [_counts(c) for c in batches["counts"].to_pylist()])
+        return pa.Table.from_batches([_frames(batches["mid"][0].as_py(), distinct, sums, parts * FAN)])
+
+    def back(own: pa.Table, replies: pa.Table) -> pa.Table:
+        keys = [_keys(k) for k in own["keys"].to_pylist()]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        replies = replies.sort_by("part")
+        totals = np.concatenate([_counts(c) for c in replies["totals"].to_pylist()])
+        rest = [0] * (own.num_rows - 1)
+        sums = {c: pa.array([pc.sum(replies[c]).as_py(), *rest], pa.int64()) for c in ("tokens", "types")}
+        return pa.table(_answered(own["node"].to_pylist(), own["part"].to_pylist(), keys, totals >> 1, (totals & 1).astype(bool), at) | sums)
+
+    finer = exchange(asked.groupBy("mid").applyInArrow(merge, _ASKED), parts * groups, n_keys, parts * FAN)
+    return asked.groupBy("mid").cogroup(finer.withColumnRenamed("node", "mid").groupBy("mid")).applyInArrow(back, schema)
 
 
 def score(docs: DataFrame, order: int = ORDER, masses: tuple[float, ...] = MASSES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = materialize(_blocks(docs, order))
-    buckets = max(1, (blocks.agg(F.sum("n_keys")).first()[0] or 0) // BUCKET_KEYS)
-    edges = np.array([(b << 62) // buckets << 2 for b in range(1, buckets)], np.uint64)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, _ = _opened(batch.column(2)[i], batch.column(1)[i], batch.column(3)[i].as_py(), order)
-                keys, counts, _ = block.asked()
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                rows = [(b, _packed(np.diff(keys[a:z], prepend=np.uint64(0))), _packed(counts[a:z].astype("<u4"))) for b, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-                own = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([own] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "keys", "counts"])
-
-    def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, counts = [], [], []
-        for batch in batches:
-            names += batch.column("block").to_pylist()
-            keys += [np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64) for k in batch.column("keys").to_pylist()]
-            counts += [_unpacked(c, "<u4") for c in batch.column("counts").to_pylist()]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        single = (distinct & np.uint64(3)) == 1
-        ends = np.cumsum([len(k) for k in keys]).tolist()
-        answers = [_packed(totals[at[a:z]].astype("<u8")) for a, z in zip([0, *ends], ends)]
-        first = [0] * (len(names) - 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int32()), pa.array(answers, pa.binary()), pa.array([int(totals[single].sum()), *first], pa.int64()), pa.array([int((totals[single] > 0).sum()), *first], pa.int64())],
-            names=["block", "bucket", "totals", "tokens", "types"],
-        )
-
-    asked = map_arrow(blocks.select("block", "held", "sizes", "texts"), ask, "bucket int, block long, keys binary, counts binary")
-    answers = materialize(asked.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, totals binary, tokens long, types long"))
-    n_tokens, n_types = (v or 0 for v in answers.agg(F.sum("tokens"), F.sum("types")).first())
-
-    def read(key: tuple[pa.Scalar, ...], own: pa.Table, replies: pa.Table) -> pa.Table:
-        own, replies = own.combine_chunks(), replies.sort_by("bucket")
+    nodes = materialize(_nodes(docs))
+    n_nodes, n_docs, n_bytes = nodes.select(F.count("*"), F.sum(F.size("sizes")), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()
+    most = (n_bytes or 0) + 2 * (n_docs or 0)  # a word takes two bytes with its space, and gives two keys at most in a round; a document has an end
+    own = nodes.select("node", "held", "sizes", "texts")
+    answers = None
+
+    def replies_of(replies: pa.Table, rounds: int) -> list[np.ndarray]:
+        """The answers of each round that came before, in the order of its keys."""
+        replies = replies.sort_by([("round", "ascending"), ("part", "ascending")])
+        of, blobs = replies["round"].to_pylist(), replies["totals"].to_pylist()
+        return [np.concatenate([np.zeros(0, np.int64), *(_counts(b) for b, r in zip(blobs, of) if r == k)]) for k in range(rounds)]
+
+    def asker(r: int):
+        upto = [*_rounds(order)[r]][-1]
+
+        def ask(own: pa.Table, replies: pa.Table) -> pa.Table:
+            blocks = _opened(own["sizes"][0], own["held"][0], own["texts"][0].as_py(), upto)
+            _, (keys, counts) = known_and_asked(blocks, upto, replies_of(replies, r))
+            hand_back()
+            return pa.Table.from_batches([_frames(own["node"][0].as_py(), keys, counts, FAN)])
+
+        def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nothing = pa.table({"round": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "totals": pa.array([], pa.binary())})
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from ask(pa.Table.from_batches([batch.slice(i, 1)]), nothing).to_batches()
+
+        return ask if r else ask_first
+
+    n_tokens = n_types = 0
+    for r in range(len(_rounds(order))):
+        asked = own.groupBy("node").cogroup(answers.select("node", "part", "totals", "round").groupBy("node")).applyInArrow(asker(r), _ASKED) if r else map_arrow(own, asker(r), _ASKED)
+        found = materialize(exchange(asked, n_nodes, most).withColumn("round", F.lit(r)))
+        if not r:
+            n_tokens, n_types = (v or 0 for v in found.agg(F.sum("tokens"), F.sum("types")).first())
+        answers = answers.unionByName(found) if r else found
+        drop_finished(docs.sparkSession)
+
+    def read(own: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
-        for i in range(own.num_rows):
-            block, held = _opened(own["sizes"][i], own["held"][i], own["texts"][i].as_py(), order)
-            totals = block.answered(np.concatenate([_unpacked(b, "<u8") for b in replies["totals"].to_pylist()]).astype(np.int64))
+        blocks = _opened(own["sizes"][0], own["held"][0], own["texts"][0].as_py(), order)
+        known, _ = known_and_asked(blocks, order, replies_of(replies, len(_rounds(order))))
+        while blocks:
+            block = blocks.pop(0)
+            totals = [known[max(0, n - 2)].of(block.keys[n - 1]) for n in range(1, order + 1)]
             automaton = Automaton(block, totals, n_tokens, n_types, masses)
             base = np.add.reduceat(automaton.base[block.tokens], block.starts) / math.log(10)
-            known = np.add.reduceat(automaton.known[block.tokens].astype(np.int64), block.starts)
+            found = np.add.reduceat(automaton.known[block.tokens].astype(np.int64), block.starts)
             tokens, ends = block.tokens.tolist(), (block.starts + block.lengths).tolist()
             scores = [automaton.traverse(tokens[a:z]) / math.log(10) for a, z in zip(block.starts.tolist(), ends)]
-            out.append(pa.table({"doc_id": own["ids"][i].values, "held_out": pa.array(held), "n_tokens": pa.array(block.lengths, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_tokens] * len(held), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())}))
-        return pa.concat_tables(out)
+            out.append(pa.table({"n_tokens": pa.array(block.lengths, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array([n_tokens] * len(scores), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())}))
+            del automaton
+        hand_back()
+        own = own.combine_chunks()
+        return pa.concat_tables(out).add_column(0, "held_out", pa.array(own["held"][0].values)).add_column(0, "doc_id", pa.array(own["ids"][0].values))
 
-    grouped = blocks.select("block", "ids", "held", "sizes", "texts").groupBy("block").cogroup(answers.select("block", "bucket", "totals").groupBy("block"))
+    grouped = nodes.groupBy("node").cogroup(answers.select("node", "part", "totals", "round").groupBy("node"))
     return grouped.applyInArrow(read, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

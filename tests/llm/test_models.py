@@ -53,12 +53,15 @@ def brute_model(rows, order, masses):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_scores_equal_brute_force(spark, order, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 50_000)
-    monkeypatch.setattr(lm_score, "BUCKET_KEYS", 4000)
+@pytest.mark.parametrize("order, fan, part_keys", [(1, 2048, 10**6), (2, 8, 10**9), (3, 3, 2000), (3, 2048, 10**6), (4, 5, 10**5)])
+def test_scores_equal_brute_force(spark, order, fan, part_keys, monkeypatch):
+    """Also where the exchange takes several steps."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_score, "NODE_BYTES", 50_000)
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    monkeypatch.setattr(lm_score, "PART_KEYS", part_keys)
     rows = documents(spark) + ODD
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, block int").repartition(3)
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int").repartition(3)
     key = lambda r: (str(r[0]), r[2], r[5])
     got = sorted((tuple(r) for r in lm_score.score(docs, order, (7.0, 3.0)).collect()), key=key)
     for a, b in zip(got, sorted(brute_model(rows, order, (7.0, 3.0)), key=key), strict=True):
