@@ -1,15 +1,19 @@
 """Toxicity of texts, after noisy-channel deobfuscation.
 
-A token that may be disguised becomes a lattice: each character stands for itself or for the
-letters it is written for, a run of one character for one or two of it, a separator between
-single letters for nothing. Runs of single letters with spaces between are one lattice, which
-may part into words. The Viterbi path under a character trigram model is the restored text.
-
-Restored words are scored by logistic regression on whether a text has certain words and word
-beginnings. Model and features are learnt from at most TRAIN_DOCS labelled documents of the
+Tokens are what ASCII or Unicode blanks part. A token that may be disguised becomes a lattice:
+each character stands for itself or for the letters it is written for, a run of one character
+for one or two of it, a separator between single letters for nothing. Runs of single letters
+with spaces between are one lattice, which may part into words. The Viterbi path under a
+character trigram model is the restored text. Lattices of any length are decoded, in
+overlapping parts of PART characters; any PART // 2 of them lie in one part.
+
+A text's words are the runs of letters and digits in its tokens, and in restored ones. They are
+scored by logistic regression on whether the text has certain words and word beginnings; in a
+word of over LONGEST_WORD letters words may be hidden, so that it has beginnings at each letter. Trigrams
+are counted over all documents of the training folds, of letters mapped to an alphabet of some
+130 symbols, which bounds them. Weights are learnt from at most TRAIN_DOCS labelled documents of the
 training folds (the lowest hashes of their ids); the features of most weight, MAX_FEATURES at
-most, and the MAX_TRIGRAMS most frequent trigrams go to the driver. A text's score depends on
-its words alone.
+most, go to the driver. A text's score depends on its words alone.
 
 Cases: a null or empty text is scored like a text with none of the features. Without labels of
 both kinds every score is the share of label 1, or 0. Repeated rows are scored alike. An empty
@@ -36,7 +40,6 @@ FOLDS = 3
 HELD_OUT = 1
 TRAIN_DOCS = 8000
 MAX_FEATURES = 800
-MAX_TRIGRAMS = 60_000
 LEAST_DOCS = 4
 PREFIXES = (3, 4, 5, 6)
 LONGEST_WORD = 24
@@ -51,15 +54,48 @@ SEPARATORS = ".-_*~ "
 #: Costs of the channel, in natural logarithms.
 LEET_COST, RUN_COST, DOUBLE_COST, SEPARATOR_COST, BREAK_COST = 1.0, 0.5, 1.5, 0.3, 0.7
 
+#: Characters of a lattice that are decoded together, and of a token that a worker remembers.
+PART = 96
+REMEMBERED = 64
+
 _EDGE = re.compile(r"^[^\w@$!|+€(]+|[^\w@$]+$")
 _TAIL = re.compile(r"[^\w]+$")
 _DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[013457@$!|+€(89]|.*(.)\1\1|(?:\w[.\-_*~]){2,}\w$)")
-#: A longer token is left as it is: no word is so long.
-LATTICE_LIMIT = 64
+_BLANKS = r"[\x{85}\p{Z}]"
+_PIECE = re.compile(r"[^\W_]+")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
+
+#: The alphabet of the character model: ASCII letters and digits, Latin-1's small letters, and for all others one of 58 symbols.
+BEGIN, END = "^", "$"
+_OWN = "abcdefghijklmnopqrstuvwxyz0123456789" + "".join(map(chr, range(0xDF, 0x100)))
+_SHARED = [chr(0xE000 + k) for k in range(58)]
+ALPHABET = BEGIN + END + _OWN + "".join(_SHARED)
+
+
+class _Symbols(dict):
+    """Symbols of characters, as they come."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = c if c in _OWN else _SHARED[ord(c) % len(_SHARED)]
+        return self[c]
+
+
+symbol = _Symbols()
+_CODES: list[np.ndarray] = []
+
+
+def _codes() -> np.ndarray:
+    """For each code point the place of its symbol in ALPHABET, 0 if it is no letter; made once for each worker."""
+    if not _CODES:
+        letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        codes = 2 + len(_OWN) + np.arange(0x110000) % len(_SHARED)
+        codes[list(map(ord, _OWN))] = 2 + np.arange(len(_OWN))
+        _CODES.append(np.where(letters, codes, 0).astype(np.int64))
+    return _CODES[0]
 
 
 class CharModel:
-    """P(c | two characters before), each order interpolated with the one below; ^ begins and $ ends a word."""
+    """P(c | two symbols before), each order interpolated with the one below; BEGIN and END stand around a word."""
 
     def __init__(self, trigrams: dict[str, int]):
         self.three, self.two, self.one = Counter(trigrams), Counter(), Counter()
@@ -104,7 +140,7 @@ def _arcs(text: str, i: int) -> Iterator[tuple[int, str, float]]:
 def decode(text: str, model: CharModel) -> str:
     """The likeliest source of a disguised text; exact Viterbi over (place, last two characters)."""
     best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-    best[0]["^^"] = (0.0, "")
+    best[0][BEGIN * 2] = (0.0, "")
     for i in range(len(text)):
         if not best[i]:
             continue
@@ -114,13 +150,14 @@ def decode(text: str, model: CharModel) -> str:
                 s, h = score - cost, before
                 for letter in letters:
                     if letter == " ":
-                        s, h = s + model.log(h, "$"), "^^"
+                        s, h = s + model.log(h, END), BEGIN * 2
                     else:
+                        letter = symbol[letter]
                         s, h = s + model.log(h, letter), h[1] + letter
                 at = best[end]
                 if h not in at or s > at[h][0]:
                     at[h] = (s, out + letters)
-    ends = [(s + model.log(h, "$"), out) for h, (s, out) in best[-1].items()]
+    ends = [(s + model.log(h, END), out) for h, (s, out) in best[-1].items()]
     return max(ends)[1] if ends else text
 
 
@@ -129,18 +166,33 @@ def plain(token: str) -> str:
     return _TAIL.sub("", _EDGE.sub("", token.lower()))
 
 
+def _parts(n: int) -> Iterator[slice]:
+    """Overlapping parts of something n long."""
+    yield from (slice(at, at + PART) for at in range(0, max(1, n - PART // 2), PART // 2))
+
+
 def restored(token: str, model: CharModel) -> str:
-    word = plain(token)
-    return decode(word, model) if len(word) <= LATTICE_LIMIT and _DISGUISED.match(word) else word
+    """A token without marks around it, and without disguise; of a long lattice its parts, which overlap, with spaces between."""
+    word = _LONG_RUN.sub(r"\1\1\1", plain(token))
+    return " ".join(decode(word[p], model) for p in _parts(len(word))) if _DISGUISED.match(word) else word
 
 
 _DOUBLED = re.compile(r"(.)\1+")
 
 
 def features_of(word: str) -> list[str]:
-    """A word, doubled letters written once, and its beginnings; marked so that they can't be taken for each other."""
-    word = _DOUBLED.sub(r"\1", word[: 2 * LONGEST_WORD])[:LONGEST_WORD]
-    return [*("^" + word[:n] for n in PREFIXES if len(word) > n), "=" + word] if len(word) > 2 else []
+    """A word, doubled letters written once, and its beginnings (a long one's at each letter); marked so that they can't be taken for each other."""
+    word = _DOUBLED.sub(r"\1", word)
+    if len(word) < 3:
+        return []
+    starts = range(len(word) - 2 if len(word) > LONGEST_WORD else 1)
+    return [*{"^" + word[i : i + n] for i in starts for n in PREFIXES if len(word) - i > n or i and len(word) - i == n}, "=" + word]
+
+
+def token_features(token: str, model: CharModel) -> set[str]:
+    """Features of a token's words, as written and restored."""
+    words = {*_PIECE.findall(token.lower()), *_PIECE.findall(restored(token, model))}
+    return {f for w in words for f in features_of(w)}
 
 
 @dataclass
@@ -170,7 +222,7 @@ def hits(texts: pa.Array, model: CharModel, wanted: dict[str, float] | None, mem
     """For each text, the wanted features (all, if None) of its restored words."""
     texts = texts.fill_null("")
     for part in portions(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
-        split = pc.ascii_split_whitespace(texts[part])
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts[part], _BLANKS, " "))
         coded = split.flatten().dictionary_encode()
         tokens = coded.dictionary.to_pylist()
         if len(memo) > MEMO:
@@ -178,8 +230,8 @@ def hits(texts: pa.Array, model: CharModel, wanted: dict[str, float] | None, mem
         own = []
         for t in tokens:
             if (f := memo.get(t)) is None:
-                f = tuple(x for x in features_of(restored(t, model)) if wanted is None or x in wanted)
-                if len(t) <= LATTICE_LIMIT:
+                f = tuple(x for x in token_features(t, model) if wanted is None or x in wanted)
+                if len(t) <= REMEMBERED:
                     memo[t] = f
             own.append(f)
         order = coded.indices.to_numpy()
@@ -193,8 +245,8 @@ def hits(texts: pa.Array, model: CharModel, wanted: dict[str, float] | None, mem
             alone = single[a:b]
             if len(alone) > 3 and (alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]).any():
                 for run in _spelled([tokens[k] for k in order[a:b].tolist()]):
-                    for word in decode(run, model).split(" "):
-                        found.update(x for x in features_of(plain(word)) if wanted is None or x in wanted)
+                    for word in _PIECE.findall(decode(run, model)):
+                        found.update(x for x in features_of(word) if wanted is None or x in wanted)
             yield found
 
 
@@ -205,9 +257,9 @@ def _spelled(tokens: list[str]) -> Iterator[str]:
         if len(t) == 1 and (t.isalnum() or t in LEET):
             run.append(t.lower())
             continue
-        for at in range(0, max(1, len(run) - 31), 16):
-            if len(run[at : at + 48]) >= 4:
-                yield " ".join(run[at : at + 48])
+        for p in _parts(len(run)):
+            if len(run[p]) >= 4:
+                yield " ".join(run[p])
         run = []
 
 
@@ -221,21 +273,41 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "toxic").limit(TRAIN_DOCS).select("text", "toxic")
 
 
+#: What no word has that is written as it is spoken.
+_NOT_PLAIN = r"[0-9@$|+€(]|!."
+
+
+def trigram_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of the runs of letters in texts, as three places in ALPHABET of 8 bits each, and how often they come."""
+    counted = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), _BLANKS, " ")).flatten().value_counts()
+    counted = counted.filter(pc.invert(pc.match_substring_regex(counted.field(0), _NOT_PLAIN)))
+    points = np.frombuffer(("\n".join(counted.field(0).to_pylist()) + "\n").encode("utf-32-le"), np.uint32)
+    times = np.append(counted.field(1).to_numpy(), 0)[np.cumsum(points == 10) - (points == 10)]
+    one = _codes()[points]
+    begin, end = ALPHABET.index(BEGIN), ALPHABET.index(END)
+    two, three = np.append(0, one[:-1]), np.append([0, 0], one[:-2])[: len(one)]
+    three = np.where((two > 0) & (three > 0), three, begin)
+    real, last = one > 0, (one == 0) & (two > 0)
+    codes = np.concatenate([((three << 16) + (np.where(two > 0, two, begin) << 8) + one)[real], ((three << 16) + (two << 8) + end)[last]])
+    distinct, at = np.unique(codes, return_inverse=True)
+    return distinct, np.bincount(at, weights=np.concatenate([times[real], np.append(0, times[:-1])[last]])).astype(np.int64)
+
+
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+    """At most a row for each trigram of the alphabet from a task."""
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for word in set(map(plain, (text or "").split())):
-                if word.isalpha() and len(word) <= LONGEST_WORD:
-                    marked = f"^^{word}$"
-                    counts.update(marked[i : i + 3] for i in range(len(marked) - 2))
-    yield pa.RecordBatch.from_pydict({"gram": list(counts), "n": list(counts.values())}, schema=pa.schema([("gram", pa.string()), ("n", pa.int64())]))
+        more, times = trigram_counts(batch.column(0))
+        codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(codes)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["code", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    learnt = docs.where(fold_remainder("doc_id", FOLDS) != HELD_OUT).select("text")
+    grams = map_arrow(learnt, _count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # len(ALPHABET) ** 3 rows at most
+    trigrams = {"".join(ALPHABET[r.code >> k & 255] for k in (16, 8, 0)): r.n for r in grams}
     sample = materialize(_sample(docs, labels).repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism)))
-    grams = map_arrow(sample, _count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()
-    trigrams = {r.gram: r.n for r in grams}
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values()))

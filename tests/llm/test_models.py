@@ -4,7 +4,7 @@ import itertools
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -234,8 +234,91 @@ def test_restored_words(disguised, word):
 def test_spelled_words():
     assert toxicity.decode("i d i o t", char_model()) == "idiot"
     assert list(toxicity._spelled("you i d 1 o t a".split())) == ["i d 1 o t a"]
-    long = list(toxicity._spelled(list("ab" * 100)))
-    assert all(len(r) <= 95 for r in long) and len(long) > 5
+    long = list(toxicity._spelled(list("ab" * 300)))
+    assert all(len(r) < 2 * toxicity.PART for r in long) and len(long) > 5
+
+
+HIDDEN = ["idiot", "nice,idiot", "such\u2014an\u2014idiot", "an\u00a0idiot", "\u3000idiot\u3000", "i" * 30 + "ddddd" + "iiii" + "ooooo" + "t" * 27, "i" + "." * 40 + "d.i.o.t", "x1y2z3-" * 30 + "1d10t" + "-z3y2x1" * 30, "i\u00a0d\u00a0i\u00a0o\u00a0t", "word" * 40 + "idiot" + "word" * 40, "a b " * 200 + "i d i o t " + "q r " * 200]
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_nothing_is_too_long_or_too_joined(text):
+    model = char_model()
+    found = next(toxicity.hits(quality.pa.array([text]), model, None, {}))
+    assert "=idiot" in found or "^idio" in found
+    assert not {"=idiot", "^idio"} & next(toxicity.hits(quality.pa.array([text.replace("i", "e").replace("1", "7")]), model, None, {}))
+
+
+def test_trigrams_equal_brute_force():
+    texts = ["The cat, the  CAT!", None, "", "l33t no5 a@b x! y", "\u00e9t\u00e9 na\u00efve\u00a0q \u65e5\u672c", "don't a" + "b" * 500]
+    counts = Counter()
+    for text in texts:
+        for token in re.split(r"[\s\x85\u00a0\u3000]+", (text or "").lower()):
+            if not re.search("[0-9@$|+\u20ac(]|!.", token):
+                for run in re.findall(r"[^\W\d_]+", token):
+                    marked = [toxicity.BEGIN] * 2 + [toxicity.symbol[c] for c in run] + [toxicity.END]
+                    counts.update("".join(marked[i : i + 3]) for i in range(len(marked) - 2))
+    codes, n = toxicity.trigram_counts(quality.pa.array(texts))
+    assert {"".join(toxicity.ALPHABET[c >> k & 255] for k in (16, 8, 0)): m for c, m in zip(codes.tolist(), n.tolist())} == counts
+    assert len(toxicity.ALPHABET) == len(set(toxicity.ALPHABET)) < 140
+
+
+def test_op9_equals_brute_force(spark, monkeypatch):
+    """The whole query: sample, counts, features and scores in plain loops; lattices and the solver have tests of their own."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "no id 1d10t"), (10**6, None), (10**6 + 1, ""), (7, "again idiot")]
+    frame = spark.createDataFrame([(*r, 0.1) for r in rows], "doc_id long, text string, score double").repartition(3)
+    got = toxicity.score(frame, toxicity.train(frame, labels)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    codes, n = toxicity.trigram_counts(quality.pa.array([t for i, t in rows if not held(i)]))
+    model = toxicity.CharModel({"".join(toxicity.ALPHABET[c >> k & 255] for k in (16, 8, 0)): m for c, m in zip(codes.tolist(), n.tolist())})
+    memo = {}
+
+    def features(text):
+        tokens, out, single = re.split(r"[\s\x85\u00a0\u3000]+", text or ""), set(), []
+        for t in [*tokens, ""]:
+            if t not in memo:
+                memo[t] = {f for w in re.findall(r"[^\W_]+", t.lower()) + re.findall(r"[^\W_]+", toxicity.restored(t, model)) for f in toxicity.features_of(w)}
+            out |= memo[t]
+            if len(t) == 1 and (t.isalnum() or t in toxicity.LEET):
+                single.append(t.lower())
+            else:
+                if len(single) >= 4:
+                    out |= {f for w in re.findall(r"[^\W_]+", toxicity.decode(" ".join(single), model)) for f in toxicity.features_of(w)}
+                single = []
+        return out
+
+    toxic = defaultdict(list)
+    for r in labels.collect():
+        if r.toxic is not None and not held(r.doc_id):
+            toxic[r.doc_id].append(r.toxic)
+    found = [features(t) for _, t in rows]
+    sample = [(f, y) for (i, _), f in zip(rows, found) for y in toxic.get(i, [])]
+    assert len(sample) < toxicity.TRAIN_DOCS
+    totals, counts = Counter(y for _, y in sample), (Counter(), Counter())
+    for f, y in sample:
+        counts[y].update(f)
+    ratio = lambda f: math.log((counts[1][f] + 0.5) / totals[1] / ((counts[0][f] + 0.5) / totals[0]))
+    names = sorted(sorted((f for f, c in counts[1].items() if c >= toxicity.LEAST_DOCS and ratio(f) > 1), key=lambda f: (-counts[1][f] * ratio(f), f))[: toxicity.MAX_FEATURES])
+    place = {f: k for k, f in enumerate(names)}
+    bits = Counter((np.array(sorted(place[x] for x in f if x in place), "<u2").tobytes(), y) for f, y in sample)
+    weights, bias = toxicity._logistic(sorted((b, y, c) for (b, y), c in bits.items()), len(names))
+    wanted = [(i, held(i), 1 / (1 + math.exp(-max(-40, min(40, bias + sum(weights[place[x]] for x in f if x in place)))))) for (i, _), f in zip(rows, found)]
+    key = lambda r: (str(r[0]), r[2])
+    got, wanted = sorted((tuple(r)[:3] for r in got), key=key), sorted(wanted, key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in wanted]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=1e-6)
+
+
+def test_weights_are_the_best():
+    rng = np.random.default_rng(5)
+    rows = [(np.flatnonzero(rng.random(6) < 0.4).astype("<u2").tobytes(), int(rng.random() < 0.4), 1) for _ in range(300)]
+    weights, bias = toxicity._logistic(rows, 6)
+    x = np.array([[k in np.frombuffer(b, "<u2") for k in range(6)] + [True] for b, _, _ in rows], float)
+    y = np.array([r[1] for r in rows])
+    n = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    gradient = x.T @ (n / n.sum() * (1 / (1 + np.exp(-x @ [*weights, bias])) - y)) + toxicity.RIDGE / 100 * np.array([*weights, 0])
+    assert np.abs(gradient).max() < 1e-4
 
 
 def test_decoding_is_the_best_path():
@@ -248,7 +331,7 @@ def test_decoding_is_the_best_path():
                 for end, letters, cost in toxicity._arcs(text, i):
                     s, h = score - cost, before
                     for letter in letters:
-                        s, h = (s + model.log(h, "$"), "^^") if letter == " " else (s + model.log(h, letter), h[1] + letter)
+                        s, h = (s + model.log(h, "$"), "^^") if letter == " " else (s + model.log(h, toxicity.symbol[letter]), h[1] + toxicity.symbol[letter])
                     best.setdefault(end, []).append((s, h, out + letters))
         return max((s + model.log(h, "$"), out) for s, h, out in best[len(text)])
 
