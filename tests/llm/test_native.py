@@ -32,7 +32,7 @@ def brute_license(text):
 
 
 def test_licences_equal_brute_force(spark):
-    texts = ["The MIT License mit license MIT-License", "license", "", None, "under CC BY-NC 4.0", "permission is HEREBY granted, free of charge", "apache license apache license version 2.0", "gnu general public license\0version 3 or mit", "gnu K İmit license KLICENSE", "Apache Lİcense É mit É license", "word " * 30000 + "MIT license", "mit license " * 5000]
+    texts = ["The MIT License mit license MIT-License", "license", "", None, "under CC BY-NC 4.0", "permission is HEREBY granted, free of charge", "apache license apache license version 2.0", "gnu general public license\0version 3 or mit", "gnu K İmit license KLICENSE", "Apache Lİcense É mit É license", "word " * 30000 + "MIT license", "mit license " * 5000, "SPDX-License-Identifier: GPL-3.0-or-later", license_scan._GNU.format("", "3"), license_scan._GNU.format("Affero ", "3"), "License); YOU may not use this file except in compliance with the License.", "the MPL was not distributed with this file, if a copy of the mpl was not distributed with this file", "license mit spdx identifier", "x " * 70 + "used to endorse or promote products derived from this software without specific prior written permission"]
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()] + [(10_000 + i, t) for i, t in enumerate(texts)] + [(10_000, texts[0]), (None, texts[0])]
     docs = spark.createDataFrame([(*r, "w") for r in rows], "doc_id long, text string, words string").repartition(3)
     got = license_scan.scan(docs).collect()
