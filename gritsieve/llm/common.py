@@ -63,6 +63,34 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Applies a function to the rows of each key. Groups are read off sorted batches, which suits many small ones; a group must fit a worker."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from function(pa.Table.from_batches(held)).select(names).to_batches()
+
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            start = 0
+            for i, key in enumerate(rows):
+                if key != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield from done()
+                    held, start, last = [], i, key
+            if len(rows) > start:
+                held.append(batch.slice(start))
+        yield from done()
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
 def hand_back() -> None:
     """Returns free memory to the system, where it can be; a worker lives on after its task."""
     gc.collect()

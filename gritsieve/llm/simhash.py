@@ -16,17 +16,17 @@ Repeated rows appear as often as they came. An empty table gives an empty result
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_finished, id_field, join_by_key, map_arrow, materialize, scratch, text_or_empty, words_of
+from .common import drop_finished, id_field, join_by_key, map_arrow, map_groups, materialize, portions, text_or_empty, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -100,32 +100,35 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 # -- similar texts ---------------------------------------------------------------------------
 #
-# Fingerprints are too far apart, at radius 2, for texts that share 80 % of their five-word
-# shingles, under any number of hashes that fits. The stage for similar texts therefore filters by
-# prefixes: of two sets of shingles in one order, with a similarity of at least t, the first
-# n - ceil(t n) + 1 members of each (n: its size) have one in common. Texts that have are
-# candidates, whatever the edit; no similar pair is lost. Shingles that are frequent in a sample of
-# texts come last in the order, which keeps groups small; any order gives the same result.
+# Texts that share 80 % of their five-word shingles have fingerprints some ten bits apart; ball
+# hashing at radius 2 sees few of them. It finds candidates all the same, and bands of least
+# hashes find the rest: BANDS keys of ROWS least hashes each, of which two texts of similarity s
+# have one in common with probability 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8. Texts that meet are
+# compared by their least hashes, and those that may be similar enough form clusters. In a cluster
+# links are verified on whole sets of shingles, exactly. Neither step sends pairs: texts of
+# one key, or of one cluster, meet in lots of bounded size, each two lots in a group of their
+# own, and a group gives a spanning forest.
 
 WORDS, SIMILARITY = 5, 0.8
-#: Shingle hashes in a sketch, the least ones. Two texts with no more have their exact similarity; else it is estimated, with a standard error of 0.025 at 0.8.
-KEPT = 256
-#: Pairs whose estimate is lower than the similarity by more than this aren't verified: over six standard errors.
-MARGIN = 0.2
-#: Texts in which frequent shingles are counted, at most so many on average; in how many a shingle is frequent; and how many are sent to tasks at most.
-SAMPLE, FREQUENT, MAX_FREQUENT = 8000, 3, 1 << 17
-#: Of a token with more sets a hub is tried before all pairs are; and so many sets of a token meet in one lot.
-MANY, LOT = 32, 256
-#: One in so many tokens gives the first pairs, which need only link most of what is alike.
-FIRST_OF = 8
-_ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(2)]
+BANDS, ROWS = 24, 5
+#: Pairs whose estimate is lower than the similarity by more than this aren't verified: four and a half standard errors at 0.8.
+MARGIN = 0.165
+#: Texts in a lot on average, and shingles in a lot of a cluster.
+LOT, LOT_SHINGLES = 1024, 1 << 20
+#: Keys of 16 bytes that are broadcast at most.
+BROADCAST_KEYS = 1 << 20
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9E3779B97F4A7C15 * 3 % (1 << 64)))
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _ODD[0]
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     return x ^ (x >> np.uint64(29))
 
 
+#: An odd factor for each least hash.
+_FACTORS = _scrambled(_scrambled(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))) | np.uint64(1)
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The 64-bit hashes of a text's word shingles, ascending, each once; a text of fewer words is one shingle."""
     tokens = words_of(text)
@@ -137,206 +140,175 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     span = min(words, len(tokens))
     rolled = np.zeros(len(tokens) - span + 1, np.uint64)
     for k in range(span):
-        rolled = rolled * _ODD[1] + row[k : len(tokens) - span + 1 + k]
+        rolled = rolled * _MIX[1] + row[k : len(tokens) - span + 1 + k]
     return np.unique(_scrambled(rolled))
 
 
-def least_of(shingles: np.ndarray) -> bytes:
-    """The KEPT least of a set of shingle hashes (ascending, 32 bits each; one more value than KEPT tells that there are more)."""
-    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[: KEPT + 1].tobytes()
-
-
-def sketch(text: str | None, words: int = WORDS) -> tuple[bytes, bytes]:
-    """The set of shingle hashes, and the least of them."""
-    shingles = shingle_set(text, words)
-    return shingles.tobytes(), least_of(shingles)
-
-
-def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members of a set, frequent ones last, of which any set of that similarity has one among its own first."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    late = np.isin(shingles, frequent, assume_unique=True)
-    return np.concatenate([shingles[~late], shingles[late]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes, as a signed long."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _CHUNK):
+        votes += np.unpackbits(shingles[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big", signed=True)
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of shingles that are frequent in a sample of the texts."""
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of a set that isn't empty, each under a permutation of its own."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 10):
+        np.minimum(least, (shingles[at : at + (1 << 10), None] * _FACTORS).min(axis=0), out=least)
+    return least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in batch.column(0).to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
-    one_of = max(1, docs.count() // SAMPLE)
-    counted = map_arrow(docs.where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0).select("text"), run, "shingle long, n long")
-    often = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT)
-    return np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64).view(np.uint64))
+def band_keys(least: np.ndarray) -> np.ndarray:
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in _scrambled(least).reshape(BANDS, ROWS).T:
+        keys = _scrambled(keys * _MIX[1] + column)
+    return keys.view(np.int64)
 
 
-def _sketched(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, row_key, class, n_shingles, prefix): texts with the same set of shingles are one class."""
-    frequent = _frequent(docs, words)
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row_key, class, n_shingles, fp, bands, sketch): texts with the same set of shingles are one class; a sketch has a byte of each least hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            firsts = pa.array([prefix(s, frequent, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes), pa.array([len(s) for s in sets], pa.int32()), firsts], names=["doc_id", "row_key", "class", "n_shingles", "prefix"])
-
-    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, row_key binary, class long, n_shingles int, prefix array<long>")
-
-
-def _meeting(sets: DataFrame) -> DataFrame:
-    """sets: id, n_shingles, prefix. (token, id, size, before, hub) for each member of a prefix that some other set's prefix has.
-
-    Before and hub are another set of the token and its size, for one in FIRST_OF tokens; orders differ by token.
-    """
-    emitted = sets.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token"))
-    one = F.struct("id", "size")
-    turn = Window.partitionBy("token").orderBy(F.xxhash64("id", "token"))
-    met = emitted.select("token", "id", "size", F.lag(one).over(turn).alias("before"), F.first(one).over(turn).alias("hub"), F.lead("id").over(turn).alias("after"))
-    some = lambda c: F.when(F.pmod("token", F.lit(FIRST_OF)) == 0, F.col(c)).alias(c)
-    return met.where("before is not null or after is not null").select("token", "id", "size", some("before"), some("hub"))
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage as materialize does, in fewer bytes."""
-    folder = scratch(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
-def _ordered(u: Column, v: Column) -> list[Column]:
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-
-def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v) of sets of near enough size: each with the one before it and the first under each token."""
-    other = met.select("id", "size", F.explode(F.array("before", "hub")).alias("o")).where("o is not null and o.id <> id")
-    near = other.where(F.least("size", "o.size") >= F.greatest("size", "o.size") * similarity - 1e-6)
-    return near.select(*_ordered(F.col("id"), F.col("o.id"))).distinct()
-
-
-def members_apart(met: DataFrame, found: DataFrame) -> DataFrame:
-    """met with root and members (of the token), for tokens whose sets lie in more than one component so far. found: node, root."""
-    rooted = met.select("token", "id", "size").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    token = Window.partitionBy("token")
-    spread = rooted.withColumn("lo", F.min("root").over(token)).withColumn("hi", F.max("root").over(token)).withColumn("members", F.count("*").over(token))
-    return spread.where("lo <> hi").drop("lo", "hi")
-
-
-def hub_pairs(apart: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v) under large tokens: the set with most links, and each set of another component."""
-    degrees = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    known = apart.where(F.col("members") > MANY).join(degrees, "id", "left")
-    hub = F.max_by(F.struct("id", "size", "root"), F.struct(F.coalesce("degree", F.lit(0)), "id")).over(Window.partitionBy("token"))
-    other = known.select("id", "size", "root", hub.alias("o")).where("root <> o.root")
-    near = other.where(F.least("size", "o.size") >= F.greatest("size", "o.size") * similarity - 1e-6)
-    return near.select(*_ordered(F.col("id"), F.col("o.id"))).distinct()
-
-
-def remaining_pairs(apart: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v): all pairs of sets of different components that may have the similarity.
-
-    Sets share no more than their common tokens and what lies behind one's prefix, so pairs with
-    too few common tokens are out. A large token's sets are dealt in lots, and each two lots meet in a group of their own.
-    """
-    lots = F.ceil(F.col("members") / LOT).cast("int")
-    dealt = apart.withColumn("lot", F.pmod(F.xxhash64("id"), lots).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), lots - 1)))
-    keyed = materialize(dealt.select("token", F.least("lot", "with").alias("low"), F.greatest("lot", "with").alias("high"), "lot", "id", "size", "root"))
-    left, right = (keyed.select("token", "low", "high", *(F.col(c).alias(c + side) for c in ("lot", "id", "size", "root"))) for side in "ab")
-    near = F.least("sizea", "sizeb") >= F.greatest("sizea", "sizeb") * similarity - 1e-6
-    both = left.join(right, ["token", "low", "high"]).where("ida < idb and roota <> rootb and (low = high or lota <> lotb)").where(near)
-    common = both.groupBy(F.col("ida").alias("u"), F.col("idb").alias("v")).agg(F.count("*").alias("common"), F.first("sizea").alias("m"), F.first("sizeb").alias("n"))
-    behind = F.ceil(F.greatest("m", "n") * similarity - 1e-9) - 1
-    return common.where(F.col("common") + behind >= (F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v")
-
-
-def jaccard(x: bytes, y: bytes) -> float:
-    """Similarity of two shingle sets, from their least hashes."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    if not len(a) and not len(b):
-        return 1.0
-    union = np.union1d(a, b)
-    if len(a) > KEPT or len(b) > KEPT:  # below the end of the shorter list both are complete
-        ends = [s[KEPT] for s in (a, b) if len(s) > KEPT]
-        union = union[union < min(ends)]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
-
-
-def exact_jaccard(x: bytes, y: bytes) -> float:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                shingles = shingle_set(text, words)
+                least = least_hashes(shingles) if len(shingles) else None
+                rows.append((xxhash.xxh64_intdigest(shingles.tobytes()), len(shingles), set_fingerprint(shingles), [] if least is None else band_keys(least), b"" if least is None else (least & np.uint64(255)).astype(np.uint8).tobytes()))
+            column = lambda i, kind: pa.array([r[i] for r in rows], kind)  # noqa: B023, E731
+            classes = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), classes, column(1, pa.int32()), column(2, pa.int64()), column(3, pa.list_(pa.int64())), column(4, pa.binary())], names=["doc_id", "row_key", "class", "n_shingles", "fp", "bands", "sketch"])
+
+    return map_arrow(docs.select("doc_id", "text", row_key(docs).alias("row_key")), run, f"{id_field(docs)}, row_key binary, class long, n_shingles int, fp long, bands array<long>, sketch binary")
+
+
+def _in_lots(members: DataFrame, key: str, lots: Column) -> DataFrame:
+    """Adds lot, low and high: rows of a key are dealt in lots, and each two lots of it have one group (key, low, high)."""
+    dealt = members.withColumn("lots", lots.cast("int")).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    return met.withColumn("low", F.least("lot", "with")).withColumn("high", F.greatest("lot", "with")).drop("with", "lots")
+
+
+def estimates(sketches: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Similarity of rows i to j with all rows, from the share of equal bytes; unequal least hashes give equal bytes once in 256 times."""
+    same = np.zeros((j - i, len(sketches)), np.uint8)
+    for column in np.ascontiguousarray(sketches.T):
+        same += column[i:j, None] == column
+    return (same / sketches.shape[1] - 1 / 256) / (1 - 1 / 256)
+
+
+def likely_pairs(sketches: np.ndarray, sizes: np.ndarray, lots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places a < b and estimates of pairs that may have the similarity; with two lots, of pairs between them."""
+    found = []
+    both = lots.min() != lots.max()
+    step = max(1, (1 << 22) // len(sketches))
+    for i in range(0, len(sketches), step):
+        j = min(i + step, len(sketches))
+        alike = estimates(sketches, i, j)
+        may = (alike >= similarity - MARGIN) & (np.arange(len(sketches)) > np.arange(i, j)[:, None])
+        may &= np.minimum(sizes[i:j, None], sizes) >= np.maximum(sizes[i:j, None], sizes) * similarity - 1e-6
+        if both:
+            may &= lots[i:j, None] != lots
+        a, b = np.nonzero(may)
+        found.append((a + i, b, alike[a, b]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def spanning_links(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, verify: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Of the pairs that hold, likeliest first, those that connect what wasn't connected."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    order = np.argsort(-pairs[2], kind="stable")
+    for a, b in zip(pairs[0][order].tolist(), pairs[1][order].tolist()):
+        x, y = find(a), find(b)
+        if x != y and (verify is None or verify(a, b)):
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def exact_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two whole sets of shingle hashes."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """The pairs of ids whose texts' sets of shingles have at least that similarity, exactly. texts: id, text.
+def _linked_in_groups(groups: DataFrame, keys: list[str], similarity: float, exact: bool) -> DataFrame:
+    """groups: keys, id, lot, n_shingles, sketch and, if exact, shingles. Links (u, v): a spanning forest of each group."""
 
-    Sketches drop what is far below it, by over six standard errors; whole sets travel for the rest alone.
-    """
+    def links(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, sizes, lots = (group[c].to_numpy() for c in ("id", "n_shingles", "lot"))
+        sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()] if exact else []
+        verify = (lambda a, b: exact_jaccard(sets[a], sets[b]) >= similarity) if exact else None
+        found = np.array(spanning_links(likely_pairs(sketches, sizes, lots, similarity), len(ids), verify), np.int64).reshape(-1, 2)
+        return pa.table({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
-    def sets_of(pairs: DataFrame, name: str, whole: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = (sketch(t, words)[0 if whole else 1] for t in batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.binary())], names=["id", "shingles"])
+    return map_groups(groups, keys, links, "u long, v long").distinct()
 
-        chosen = texts.join(pairs.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
-        return map_arrow(chosen.select("id", "text"), run, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
-    def compared(pairs: DataFrame, likeness: Callable[[bytes, bytes], float], least: float, whole: bool) -> DataFrame:
-        @F.arrow_udf("double")
-        def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array(map(likeness, a.to_pylist(), b.to_pylist()), pa.float64())
+def _ball_candidates(classes: DataFrame) -> DataFrame:
+    """Links (u, v) between classes whose fingerprints are equal or within the radius, by ball hashing; enough to connect all that are."""
+    first = classes.groupBy("fp").agg(F.min("class").alias("first"), F.count("*").alias("n"))
+    same = classes.join(first.where("n > 1"), "fp").where("class <> first").select(F.col("class").alias("u"), F.col("first").alias("v"))
+    near = links_within_radius(classes.select("fp").distinct())
+    name = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias("class_" + c))
+    return same.unionByName(near.join(name("u"), "u").join(name("v"), "v").select(F.col("class_u").alias("u"), F.col("class_v").alias("v")))
 
-        left, right = (sets_of(pairs, name, whole).toDF(name, at) for name, at in (("u", "a"), ("v", "b")))
-        found = materialize(pairs.join(left, "u").join(right, "v").where(alike("a", "b") >= least).select("u", "v"))
-        drop_finished(pairs.sparkSession)
-        return found
 
-    return compared(compared(pairs, jaccard, similarity - MARGIN, False), exact_jaccard, similarity, True)
+def _band_candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between classes that have a band in common and may be similar enough."""
+    emitted = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key"))
+    counted = materialize(emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = join_by_key(emitted, counted, "key", "n", classes.count() * BANDS)
+    met = met.join(classes.select(F.col("class").alias("id"), "n_shingles", "sketch"), "id")
+    return _linked_in_groups(_in_lots(met, "key", F.ceil(F.col("n") / LOT)).drop("n"), ["key", "low", "high"], similarity, False)
 
 
-def _linked(met: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(node, root): components of all pairs of that similarity.
+def _with_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """members (with row_key) with shingles, read from their texts again; the texts of others aren't shuffled while members are few."""
+    few = members.count() <= BROADCAST_KEYS
+    keys = members.select("row_key", "id")
+    chosen = docs.select("text", row_key(docs).alias("row_key")).join(F.broadcast(keys) if few else keys, "row_key").select("id", "text")
 
-    Few pairs a token link most of a group of copies; sets still in different components under
-    one token are compared with the hub of most links, and then each with each.
-    """
-    links = verified(pairs, texts, similarity, words)
-    found = materialize(connected_components(links))
-    apart = _stored(members_apart(met, found), "apart")
-    if not apart.where(F.col("members") > MANY).isEmpty():
-        more = materialize(hub_pairs(apart, links, similarity).join(pairs, ["u", "v"], "left_anti"))
-        links = materialize(links.unionByName(verified(more, texts, similarity, words)))
-        pairs = pairs.unionByName(more)
-        found = materialize(connected_components(links))
-        apart = _stored(members_apart(apart, found), "apart")
-    if apart.isEmpty():
-        return found
-    rest = materialize(remaining_pairs(apart, similarity).join(pairs, ["u", "v"], "left_anti"))
-    drop_finished(texts.sparkSession)
-    return connected_components(links.unionByName(verified(rest, texts, similarity, words)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(pc.binary_length(batch.column(1).fill_null("")).to_pylist(), 1 << 20):
+                sets = [shingle_set(t, words).tobytes() for t in batch.column(1)[part].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    sets = map_arrow(chosen, run, "id long, shingles binary").dropDuplicates(["id"])  # rows alike in id and text
+    return members.drop("row_key").join(sets, "id")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): components of all classes of that similarity."""
+    some = classes.where("n_shingles > 0")
+    candidates = _ball_candidates(some).unionByName(_band_candidates(some, similarity))
+    clusters = connected_components(candidates)
+    sizes = materialize(clusters.join(some, F.col("node") == F.col("class")).groupBy(F.col("root").alias("cluster")).agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")))
+    named = join_by_key(clusters.select(F.col("root").alias("cluster"), F.col("node").alias("id")), sizes, "cluster", "members", classes.count())
+    members = materialize(named.join(some.select(F.col("class").alias("id"), "row_key", "n_shingles", "sketch"), "id"))
+    drop_finished(docs.sparkSession)
+    lots = F.greatest(F.ceil(F.col("members") / LOT), F.ceil(F.col("total") / LOT_SHINGLES))
+    groups = _in_lots(_with_sets(docs, members, words), "cluster", lots).drop("members", "total")
+    return connected_components(_linked_in_groups(groups, ["cluster", "low", "high"], similarity, True))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id, root, row_key) for each row of docs: components of texts linked by the Jaccard similarity of their word shingles."""
-    rows = materialize(_sketched(docs, words, similarity).withColumn("row", F.monotonically_increasing_id()))
-    classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row").alias("row")))
-    extra = rows.select("class", "row").join(classes.where("n > 1").select("class", F.col("row").alias("kept")), "class").where("row <> kept")
-    sets = rows.join(extra.select("row"), "row", "left_anti").select(F.col("class").alias("id"), "row_key", "n_shingles", "prefix")
-    met = _stored(_meeting(sets.select("id", "n_shingles", "prefix")), "met")
-    pairs = materialize(first_pairs(met, similarity))
-    drop_finished(docs.sparkSession)
-    of_text = materialize(sets.join(met.select("id").distinct(), "id", "left_semi").select("id", "row_key"))
-    texts = docs.select("text", row_key(docs).alias("row_key")).join(of_text, "row_key").select("id", "text")
-    found = _linked(met, pairs, texts, similarity, words)
+    rows = materialize(_sketched(docs, words))
+    classes = materialize(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("row_key").alias("row_key"), *(F.first(c).alias(c) for c in ("n_shingles", "fp", "bands", "sketch"))))
+    found = _linked(docs, classes, words, similarity)
     rooted = materialize(classes.join(found, F.col("class") == F.col("node"), "left").select("class", "first_id", "n", F.coalesce("root", "class").alias("root")))
     named = materialize(_with_component(rooted).select("class", "component_id", "root", "n"))
     return join_by_key(rows.select("doc_id", "row_key", "class"), named, "class", "n", rows.count()).select("doc_id", "component_id", "root", "row_key")

@@ -182,18 +182,19 @@ def test_similar_texts_are_found(spark):
 def test_similarity_of_sketches():
     rng = np.random.default_rng(1)
     for n, shared in ((40, 30), (200, 170), (5000, 4500)):
-        a = rng.integers(0, 1 << 32, n, dtype=np.uint32)
-        b = np.concatenate([a[:shared], rng.integers(0, 1 << 32, n - shared, dtype=np.uint32)])
-        kept = [np.unique(x)[: simhash.KEPT + 1].tobytes() for x in (a, b)]
-        assert abs(simhash.jaccard(*kept) - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < (1e-9 if n <= 200 else 0.08)
-    assert simhash.jaccard(b"", b"") == 1.0
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, n - shared, dtype=np.uint64)])
+        sketches = np.stack([(simhash.least_hashes(x) & np.uint64(255)).astype(np.uint8) for x in (a, b)])
+        assert abs(simhash.estimates(sketches, 0, 1)[0, 1] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.13
+        assert simhash.exact_jaccard(np.unique(a), np.unique(b)) == shared / (2 * n - shared)
 
 
 def test_sketch_does_not_depend_on_its_parts(monkeypatch):
-    text = " ".join(f"w{i % 700}" for i in range(5000))
-    whole = simhash.sketch(text)
+    shingles = simhash.shingle_set(" ".join(f"w{i % 1700}" for i in range(5000)))
+    whole = simhash.set_fingerprint(shingles)
+    assert (simhash.least_hashes(shingles) == (shingles[:, None] * simhash._FACTORS).min(axis=0)).all()
     monkeypatch.setattr(simhash, "_CHUNK", 64)
-    assert simhash.sketch(text) == whole
+    assert simhash.set_fingerprint(shingles) == whole
 
 
 def test_components_of_a_long_chain(spark):
@@ -247,9 +248,11 @@ def brute_similar(texts):
 
 @pytest.mark.parametrize("lot", [None, 20])
 def test_spokes_of_a_hub_and_pairs_among_strangers(spark, monkeypatch, lot):
+    """Whole groups, and groups in many lots with the keys shuffled."""
     if lot:
         monkeypatch.setattr(simhash, "LOT", lot)
-        monkeypatch.setattr(simhash, "MANY", 10**9)
+        monkeypatch.setattr(simhash, "LOT_SHINGLES", 2000)
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
     rng = random.Random(33)
     new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
     hub = new(44)
@@ -276,3 +279,46 @@ def test_unrelated_rows_without_own_ids_stay(spark):
         if components_of is simhash.near_duplicate_components:
             wanted += [(None, texts[4])] if (simhash.fingerprint(texts[4]) ^ simhash.fingerprint(texts[4] + " x")).bit_count() > 2 else []
         assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
+
+
+def test_stage_equals_brute_force_on_documents(spark):
+    """Near duplicates of documents as they are, and cut and edited copies of them, against all pairs."""
+    rng = random.Random(34)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()]
+    for i, text in rows[:200:2]:
+        words = text.split()
+        if len(words) > 20:
+            cut = words[: int(len(words) * rng.uniform(0.75, 0.99))]
+            for _ in range(rng.randint(0, len(words) // 60)):
+                cut[rng.randrange(len(cut))] = "edited"
+            rows.append((100_000 + i, " ".join(cut)))
+    rows += [(None, rows[3][1]), (200_000, None), (200_001, "")]
+    wanted = brute_similar([t for _, t in rows])
+    got = simhash.similar_components(frame(spark, rows)).collect()
+    place = {}
+    for k, (i, t) in enumerate(rows):
+        place.setdefault((i, t), k)
+    texts = {(i, simhash_key(i, t)): wanted[k] for k, (i, t) in enumerate(rows)}
+    root = {}
+    for r in got:
+        root.setdefault(texts[(r.doc_id, bytes(r.row_key))], set()).add(r.root)
+    assert len(got) == len(rows)
+    assert all(len(x) == 1 for x in root.values()) and len(set.union(*root.values())) == len(root) == len(set(wanted)) < len(rows) - 30
+
+
+def simhash_key(doc_id, text):
+    return hashlib.md5((("" if doc_id is None else f"={doc_id}") + "\0" + (text or "")).encode()).digest()
+
+
+def test_recall_of_bands():
+    """Of pairs at 0.8, the share that has a band in common and an estimate above the margin."""
+    rng = np.random.default_rng(6)
+    missed = 0
+    for _ in range(3000):
+        shared = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+        pair = [simhash.least_hashes(np.concatenate([shared, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for _ in range(2)]
+        a, b = (simhash.band_keys(x) for x in pair)
+        sketches = np.stack([(x & np.uint64(255)).astype(np.uint8) for x in pair])
+        missed += not (a == b).any() or simhash.estimates(sketches, 0, 1)[0, 1] < simhash.SIMILARITY - simhash.MARGIN
+    print("missed:", missed, "of 3000")
+    assert missed <= 3
