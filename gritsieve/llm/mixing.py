@@ -8,14 +8,19 @@ brackets; each step is one aggregation, and multipliers stay in a table with the
 
 Rates become whole copies: along the sizes of a source, descending, the running sum of copies is
 rounded, which leaves an error of at most half the largest document; then one class of sizes in
-each power of two takes up what is left. Documents of one source and size are dealt their copies
-by the hash of their id, in SALTS lots, so that a class may be of any size.
+each power of two takes up what is left. A class is the documents of one source and size. Its
+copies are dealt evenly, and what is over goes to the lowest hashes of the rows: the class has a
+threshold, found among lots of hashes whose number follows its size, and a row needs no more than its class's
+entry. Equal rows have one hash; where a threshold falls among them they are counted through.
 
 Everything is DataFrame operations. Sums that decide anything are exact decimals, so reruns agree.
+Windows run over aggregates only: a source's sizes (at most the words of its longest document), a
+class's lots (a LOT-th of its rows), and one lot. A source or class of any share of the rows is
+pre-aggregated. Classes are broadcast while there are at most BROADCAST_CLASSES, else joined by shuffle, large ones apart.
 
 Cases: a null text has size 0 and takes nothing. A null source is a source, last in order.
-Rows of equal id are dealt copies one by one. If there are no words, all targets are 0. An empty
-table gives an empty result.
+Rows of equal id are dealt copies one by one, by their hashes, and so are rows without an id. If there are no words, all
+targets are 0. An empty table gives an empty result. A dual that isn't solved after MAX_ROUNDS rounds is an error.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, join_by_key, materialize, running_sum, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SALTS = 1024
+LOT = 4096
+BROADCAST_CLASSES = 100_000
 TOLERANCE = 1e-7
 MAX_ROUNDS = 20
 _STEPS = 3
@@ -39,10 +45,11 @@ def word_count(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds s (the source, never null, in its order), z (size) and salt. Names are ours alone: the caller's columns are behind a struct."""
+    """Adds s (the source, never null, in its order), z (size) and u, a hash of the row. Names are ours alone: the caller's columns are behind a struct."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    return docs.select(row, key.alias("s"), word_count(text_or_empty()).alias("z"), F.xxhash64(F.col("doc_id").cast("string")).alias("u")).withColumn("salt", F.pmod("u", F.lit(SALTS)).cast("int"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return docs.select(row, key.alias("s"), word_count(text_or_empty()).alias("z"), F.xxhash64(*hashed).alias("u"))
 
 
 def _exact(value: Column) -> Column:
@@ -52,9 +59,9 @@ def _exact(value: Column) -> Column:
 def source_targets(classes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """classes: s, z, n. One row a source: s, n_docs, source_size, least (smallest size above 0), target."""
     sources = classes.groupBy("s").agg(F.sum(F.col("z") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"), F.min(F.when(F.col("z") > 0, F.col("z"))).alias("least"))
-    place = F.row_number().over(Window.orderBy("s")) - 1  # over one row a source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    sources = materialize(sources.withColumn("weight", weight))
+    placed = running_sum(sources.withColumn("one", F.lit(1).cast("long")), [F.col("s")], "one", "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    sources = materialize(placed.withColumn("weight", weight).drop("one", "place"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     cap = F.col("source_size") * MOST
@@ -92,8 +99,8 @@ def solve(classes: DataFrame, sources: DataFrame) -> DataFrame:
             state = _newton(classes, state)
         state = materialize(state)
         if (state.agg(F.max(F.when(~F.col("full"), F.abs("error") / F.col("target")))).first()[0] or 0) < TOLERANCE:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"no multipliers within {TOLERANCE} of the targets after {MAX_ROUNDS * _STEPS} steps")
 
 
 def _newton(classes: DataFrame, state: DataFrame) -> DataFrame:
@@ -142,35 +149,70 @@ def whole_copies(classes: DataFrame, solved: DataFrame) -> DataFrame:
     return rounded.join(moved, ["s", "z"], "left").select("s", "z", (F.col("k") + F.coalesce("move", F.lit(0).cast("long"))).alias("k"))
 
 
-def _lots(keyed: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """One row for each source, size and salt: what its documents get."""
-    salted = materialize(keyed.groupBy("s", "z", "salt").agg(F.count("*").alias("m")))
-    classes = materialize(salted.groupBy("s", "z").agg(F.sum("m").alias("n")))
+def _thresholds(counted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(s, z, threshold, tie) for classes with more copies than even shares take: rows of lower hashes get one more, and tie of those at it.
+
+    counted: s, z, u, m. classes: s, z, n, more.
+    """
+    some = classes.where("more > 0").select(F.struct("s", "z").alias("class"), "n", "more", F.ceil(F.col("n") / LOT).alias("lots"))
+    keyed = counted.select(F.struct("s", "z").alias("class"), "u", "m")
+    # The upper half of the hash, from 0, cut into as many equal parts.
+    lot = F.shiftright((F.shiftright("u", 32) + F.lit(1 << 31)) * F.col("lots"), 32)
+    dealt = materialize(join_by_key(keyed, some, "class", "n", counted.count()).withColumn("lot", lot).drop("lots"))
+    earlier = lambda *by: Window.partitionBy("class", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda value, *by: F.coalesce(F.sum(value).over(earlier(*by)), F.lit(0).cast("long"))
+    lots = dealt.groupBy("class", "lot").agg(F.sum("m").alias("size"), F.first("more").alias("more"))
+    cut = lots.withColumn("skipped", before("size", "lot")).where("skipped <= more and more < skipped + size").select("class", "lot", "skipped")
+    inside = dealt.join(cut, ["class", "lot"]).withColumn("at", F.col("skipped") + before("m", "lot", "u"))
+    return inside.where("at <= more and more < at + m").select("class.s", "class.z", F.col("u").alias("threshold"), (F.col("more") - F.col("at")).alias("tie"))
+
+
+def _deal(keyed: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """One row for each class: s, z, n, what each of its rows gets (each, threshold, tie), and its source's source_size and target. keyed: s, z, u."""
+    counted = materialize(keyed.groupBy("s", "z", "u").agg(F.count("*").alias("m")))
+    classes = materialize(counted.groupBy("s", "z").agg(F.sum("m").alias("n")))
     sources = materialize(source_targets(classes, weights))
     copies = whole_copies(classes, solve(classes, sources))
-    dealt = classes.join(copies, ["s", "z"], "left").join(sources.select("s", "source_size", "target"), "s").withColumn("k", F.coalesce("k", F.lit(0).cast("long")))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("s", "z").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return salted.withColumn("before", before).join(dealt, ["s", "z"]).select("s", "z", "salt", "before", "source_size", "target", F.expr("k div n").alias("each"), F.expr("k % n").alias("more"))
+    k = F.coalesce("k", F.lit(0).cast("long"))
+    shared = materialize(classes.join(copies, ["s", "z"], "left").select("s", "z", "n", F.expr("coalesce(k, 0) div n").alias("each"), F.pmod(k, F.col("n")).alias("more")))
+    cut = _thresholds(counted, shared)
+    return materialize(shared.join(cut, ["s", "z"], "left").join(sources.select("s", "source_size", "target"), "s").drop("more"))
+
+
+def _dealt(rows: DataFrame, deal: DataFrame) -> DataFrame:
+    """rows (s, z, u and more) with source_size, target and copies instead of s and u."""
+    entries = deal.select(F.struct("s", "z").alias("class"), "n", "each", "threshold", "tie", "source_size", "target")
+    keyed = rows.withColumn("class", F.struct("s", "z"))
+    if entries.count() <= BROADCAST_CLASSES:
+        joined = keyed.join(F.broadcast(entries), "class")
+    else:
+        joined = join_by_key(keyed, entries, "class", "n", deal.agg(F.sum("n")).first()[0])
+    tied = F.coalesce(F.col("tie") > 0, F.lit(False)) & (F.col("u") == F.col("threshold"))
+    out = [*(c for c in rows.columns if c not in ("s", "u")), "source_size", "target"]
+    more = F.coalesce((F.col("u") < F.col("threshold")).cast("long"), F.lit(0).cast("long"))
+    plain = joined.where(~tied).select(*out, (F.col("each") + more).alias("copies"))
+    if deal.where("tie > 0").isEmpty():
+        return plain
+    # Equal rows, of which some get one more: numbered within their partitions, whose counts are added up.
+    equal = materialize(joined.where(tied).withColumn("part", F.spark_partition_id()))
+    parts = equal.groupBy("class", "part").agg(F.count("*").alias("rows"))
+    counts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("rows")
+    number = F.col("before") + F.row_number().over(Window.partitionBy("class", "part").orderBy("u")) - 1
+    numbered = equal.join(counts, ["class", "part"]).withColumn("number", number)
+    return plain.unionByName(numbered.select(*out, (F.col("each") + (F.col("number") < F.col("tie")).cast("long")).alias("copies")))
 
 
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """row (the columns of docs), size, source_size, target, copies."""
+    """row (the columns of docs), size, source_size, target, copies. Rows stay where they are while their classes can be broadcast."""
     keyed = _keyed(docs)
-    small = materialize(_keyed(docs.select("doc_id", "text", "source")).select("s", "z", "salt"))
-    lots = _lots(small, weights)
-    joined = keyed.join(lots, ["s", "z", "salt"])
-    within = Window.partitionBy("s", "z", "salt").orderBy("u", "row.doc_id", F.xxhash64("row.text") if "text" in docs.columns else "u")
-    place = F.col("before") + F.row_number().over(within) - 1
-    return joined.select("row", F.col("z").alias("size"), "source_size", "target", (F.col("each") + (place < F.col("more")).cast("long")).alias("copies"))
+    return _dealt(keyed, _deal(keyed.select("s", "z", "u"), weights)).withColumnRenamed("z", "size")
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken."""
-    keyed = materialize(_keyed(docs.select("doc_id", "text", "source")).select(F.col("row.doc_id").alias("doc_id"), "s", "z", "u", "salt"))
-    lots = _lots(keyed, weights)
-    place = F.col("before") + F.row_number().over(Window.partitionBy("s", "z", "salt").orderBy("u", "doc_id")) - 1
-    copies = F.col("each") + (place < F.col("more")).cast("long")
-    return keyed.join(lots, ["s", "z", "salt"]).select("doc_id", F.col("z").alias("size"), "source_size", "target", (F.col("z") * copies).alias("taken"))
+    keyed = materialize(_keyed(docs.select("doc_id", "text", "source")).select(F.col("row.doc_id").alias("doc_id"), "s", "z", "u"))
+    dealt = _dealt(keyed, _deal(keyed.select("s", "z", "u"), weights))
+    return dealt.select("doc_id", F.col("z").alias("size"), "source_size", "target", (F.col("z") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
