@@ -24,16 +24,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all machines share: spark.checkpoint.dir.
 
-    The folder is that of spark.checkpoint.dir; only where the session names none
-    (tests on one machine) a temporary one is set.
+    Where the session names none, a temporary one is set if it runs in one process; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -148,10 +155,7 @@ def join_by_key(rows: DataFrame, values: DataFrame, key: str, size: str, total:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all machines share; it is deleted when the session's JVM ends."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    folder = f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder

@@ -196,7 +196,9 @@ def test_only_differing_branches_are_opened(spark):
 
 
 def test_op2_equals_its_damage(spark):
-    for r in op2_warc_fixity(spark, SF).collect():
+    rows = op2_warc_fixity(spark, SF).collect()
+    assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in spark.read.parquet(f"{SF}/pages.parquet").collect())
+    for r in rows:
         assert r.finding == ("missing" if r.page_id % 89 == 7 else "damaged" if r.page_id % 97 == 5 else "sound")
 
 

@@ -52,7 +52,9 @@ def test_full_memo_changes_nothing(monkeypatch):
 def test_op4_equals_the_library(spark):
     library = Tokenizer.from_file(BYTES)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in op4_bpe_round_trip(spark, SF).collect():
+    rows = op4_bpe_round_trip(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
