@@ -1,7 +1,7 @@
 """Exact deduplication by two passes over a partitioned Bloom filter.
 
-Pass 1 puts each text's digest into Bloom filters, one set per task, and merges them shard by
-shard into the filter of bits that were set twice. Pass 2 probes that filter: a digest that is
+Pass 1 puts each text's digest into Bloom filters, one set per task (of SET_ROWS rows, if it has
+more), and merges them shard by shard into the filter of bits that were set twice. Pass 2 probes that filter: a digest that is
 surely unique passes straight through, and only possible repeats are shuffled and settled
 exactly. False positives cost a shuffled row of some 50 bytes, never a wrong result; a repeat is
 never missed, since all bits of a repeated digest are set at least twice.
@@ -30,6 +30,8 @@ BITS_PER_ROW = 16
 PROBES = 4
 SHARD_BITS = 1 << 23
 MAX_BITS = 1 << 30
+#: Rows whose hashes a task holds before it sends a set.
+SET_ROWS = 1 << 21
 
 
 def text_digest(text: Column) -> Column:
@@ -68,22 +70,38 @@ def _unpack(blob: bytes, bits: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=1), count=bits))
 
 
-def build_repeat_filter(hashes: DataFrame, geometry: Geometry) -> list[tuple[int, bytes]]:
-    """Pass 1: (shard, bitmap) of the bits that the rows of column h set at least twice."""
+def task_sets(hashes: DataFrame, geometry: Geometry) -> DataFrame:
+    """shard, seen, again: for each task and shard the bits that rows of column h set, and those set twice."""
     bits = geometry.shard_bits
 
+    def sets(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        shard, places = geometry.place(values.view(np.uint64))
+        rows: dict[str, list] = {"shard": [], "seen": [], "again": []}
+        order = np.argsort(shard, kind="stable")
+        for s, part in zip(*_runs(shard[order], order)):
+            own, times = np.unique(np.concatenate([places[part].ravel(), places[part[counts[part] > 1]].ravel()]), return_counts=True)
+            rows["shard"].append(int(s))
+            rows["seen"].append(_pack(own, bits))
+            rows["again"].append(_pack(own[times > 1], bits))
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())]))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            values, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            shard, places = geometry.place(values.view(np.uint64))
-            rows: dict[str, list] = {"shard": [], "seen": [], "again": []}
-            order = np.argsort(shard, kind="stable")
-            for s, part in zip(*_runs(shard[order], order)):
-                own, times = np.unique(np.concatenate([places[part].ravel(), places[part[counts[part] > 1]].ravel()]), return_counts=True)
-                rows["shard"].append(int(s))
-                rows["seen"].append(_pack(own, bits))
-                rows["again"].append(_pack(own[times > 1], bits))
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())]))
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= SET_ROWS:
+                yield sets(held)
+                held = []
+        if held:
+            yield sets(held)
+
+    return map_arrow(hashes.select("h"), local, "shard int, seen binary, again binary")
+
+
+def build_repeat_filter(hashes: DataFrame, geometry: Geometry) -> list[tuple[int, bytes]]:
+    """Pass 1: (shard, bitmap) of the bits that the rows of column h set at least twice."""
+    bits = geometry.shard_bits
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.zeros(bits, np.uint8)
@@ -95,7 +113,7 @@ def build_repeat_filter(hashes: DataFrame, geometry: Geometry) -> list[tuple[int
         packed = zlib.compress(np.packbits(times == 2).tobytes(), 1)
         yield pa.RecordBatch.from_pydict({"shard": [key[0].as_py()], "bitmap": [packed]}, schema=pa.schema([("shard", pa.int32()), ("bitmap", pa.binary())]))
 
-    parts = map_arrow(hashes.select("h"), local, "shard int, seen binary, again binary")
+    parts = task_sets(hashes, geometry)
     # At most max_bits / 8 bytes in all, whatever the input.
     return [(r.shard, bytes(r.bitmap)) for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bitmap binary").collect()]
 
@@ -158,7 +176,7 @@ def dedup_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay, whole: of equal texts the one with the smallest id (ties by content).
+    """The rows of docs that stay, whole: of equal texts the one with the smallest id (ties by a hash of all columns; then rows are as good as equal).
 
     Only possible repeats are shuffled, and of those each task sends one row a text.
     """
@@ -173,7 +191,8 @@ def dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     maybe = may_repeat(docs, F.xxhash64(tag), bitmaps, geometry)
     unique = keyed.where(~maybe).select(columns)
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*hashed))
     first = keyed.where(maybe).groupBy(tag).agg(F.min_by(row, order).alias("row"))
     return unique.unionByName(first.select("row.*"))
 
