@@ -107,7 +107,7 @@ class Block:
 
     def _add(self, history: np.ndarray, there: np.ndarray, names: np.ndarray, learned: np.ndarray, n: int) -> None:
         pairs = history[there] * self.width + self.tokens[there]
-        distinct, at = np.unique(pairs, return_inverse=True)
+        distinct, _, at = _distinct(pairs)
         context, last = np.divmod(distinct, self.width)
         key = self.hashes[last] if n == 1 else _mixed(names[context], self.hashes[last])
         found = np.full(len(self.tokens), -1, np.int64)
@@ -128,77 +128,57 @@ def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Automaton:
     """The states and arcs of the model that a block's documents can reach.
 
-    arcs: state * width + token -> (next state, log-probability); every token has an arc from the
-    root, state 0. fail and weight: the failure arc of each other state.
+    A state is a seen history: the root, the beginning, or a distinct n-gram of the block below the
+    highest order. The arc of a state and a token is the n-gram that they make, whose place the
+    block has for every token; it is there if training has the n-gram. arcs: for each order the
+    log-probabilities of its n-grams, ABSENT where there is no arc; every token has one from the
+    root. fails: for each order the weights of its states' failure arcs, which lead to the state one word shorter.
     """
 
+    ABSENT = 1.0
+
     def __init__(self, block: Block, totals: list[np.ndarray], n_tokens: int, n_types: int, masses: tuple[float, ...]):
-        order = len(totals)
+        self.block, self.order = block, len(totals)
         mass_of = lambda n: masses[min(n - 2, len(masses) - 1)]
-        self.width = block.width
-        first = np.zeros(block.width, np.int64)
-        first[block.lasts[0]] = totals[0]
-        self.base = np.log((first + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        self.known = first > 0
-        # State of each distinct n-gram below the highest order that training has as a history, else -1.
-        state_of = [np.where((totals[0] > 0) & (block.lasts[0] != block.end), 1 + np.arange(len(totals[0])), -1)]
-        self.begin = 1 + len(totals[0])
-        history_counts = [np.append(totals[0], first[block.end])]  # a document begins as often as one ends
-        fails = [np.zeros(self.begin + 1, np.int64)]
-        weights = [np.concatenate([[0.0], np.log(mass_of(2) / (history_counts[0] + mass_of(2)))])]
-        arcs: dict[int, tuple[int, float]] = {}
-        by_token = np.full(block.width, 0, np.int64)
-        by_token[block.lasts[0]] = np.maximum(state_of[0], 0)
-        if order == 1:  # the root is the only state
-            by_token[:] = 0
-            weights = [np.zeros(self.begin + 1)]
-        arcs.update(zip(range(block.width), zip(by_token.tolist(), self.base.tolist())))
-        lower = np.zeros(0)
-        states = self.begin + 1
-        for n in range(2, order + 1):
-            context, last, count = block.contexts[n - 1], block.lasts[n - 1], totals[n - 1]
-            if n == 2:
-                origin = np.append(state_of[0], self.begin)[context]
-                below = np.exp(self.base)[last]
-                shorter = by_token[last]
-            else:
-                # p of the n-gram without its first token: the shorter history's own arc, by its place.
-                origin = state_of[n - 2][context]
-                suffix = _suffix_places(block, n)
-                below = np.where(suffix >= 0, lower[np.maximum(suffix, 0)], 0.0)
-                shorter = np.where(suffix >= 0, state_of[n - 2][np.maximum(suffix, 0)], -1)
-            seen, mass = history_counts[n - 2][context], mass_of(n)
-            p = (count + mass * below) / (seen + mass)
-            lower = p
-            own = np.where((count > 0) & (last != block.end), states + np.arange(len(count)), -1)
-            if n == order:
-                goes = np.maximum(shorter, 0)
-            else:
-                goes = np.where(own >= 0, own, np.maximum(shorter, 0))
-                fails.append(np.maximum(shorter, 0))
-                weights.append(np.log(mass_of(n + 1) / (count + mass_of(n + 1))))
-                state_of.append(own)
-                history_counts.append(count)
-                states += len(count)
-            real = (count > 0) & (origin >= 0)
-            arcs.update(zip((origin[real] * self.width + last[real]).tolist(), zip(goes[real].tolist(), np.log(p[real]).tolist())))
-        self.arcs = arcs
-        self.fail = np.concatenate(fails).tolist()
-        self.weight = np.concatenate(weights).tolist()
-
-    def traverse(self, tokens: list[int]) -> float:
-        """Log-probability of a document: one pass that carries the state."""
-        arc, fail, weight, width = self.arcs.get, self.fail, self.weight, self.width
-        state, total = self.begin, 0.0
-        for token in tokens:
-            hit = arc(state * width + token)
-            while hit is None:
-                total += weight[state]
-                state = fail[state]
-                hit = arc(state * width + token)
-            state, p = hit
-            total += p
-        return total
+        self.known = totals[0] > 0
+        p = (totals[0] + 0.5) / (n_tokens + 0.5 * (n_types + 1))
+        self.base = np.log(p)
+        self.arcs, self.fails = [self.base], []
+        ends = totals[0][block.lasts[0] == block.end]
+        seen = np.append(totals[0], ends.sum())  # a document begins as often as one ends
+        for n in range(2, self.order + 1):
+            context, count, mass = block.contexts[n - 1], totals[n - 1], mass_of(n)
+            self.fails.append(np.log(mass / (seen + mass)))
+            p = (count + mass * p[_suffix_places(block, n)]) / (seen[context] + mass)
+            self.arcs.append(np.where(count > 0, np.log(p), self.ABSENT))
+            seen = count
+
+    def traverse(self) -> list[float]:
+        """Log-probabilities of the block's documents: one pass over the tokens, left to right, that carries the state."""
+        block, top = self.block, self.order - 1
+        # The arc that each token takes from a state of each length, and the failure weight of such a state before it.
+        arcs = [np.where(g >= 0, a[g], self.ABSENT).tolist() for a, g in zip(self.arcs, block.grams)]
+        fails = [[]]
+        for n, weights in enumerate(self.fails):
+            before = np.append(-1, block.grams[n][:-1])
+            if not n:
+                before[block.starts] = len(weights) - 1
+            fails.append(weights[before].tolist())
+        known = self.known[block.grams[0]].tolist()
+        scores = []
+        for start, end in zip(block.starts.tolist(), (block.starts + block.lengths).tolist()):
+            length, total = min(1, top), 0.0  # of the state's history
+            for k in range(start, end):
+                p = arcs[length][k]
+                while p > 0:
+                    total += fails[length][k]
+                    length -= 1
+                    p = arcs[length][k]
+                total += p
+                if length < top:
+                    length += 1 if length or known[k] else 0
+            scores.append(total)
+        return scores
 
 
 def _suffix_places(block: Block, n: int) -> np.ndarray:
@@ -217,35 +197,37 @@ def _rounds(order: int) -> list[range]:
     return [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]
 
 
-class Counts:
-    """Of the distinct n-grams of a node, ascending: their keys, corpus counts, and whether other nodes have them too."""
-
-    def __init__(self, keys: np.ndarray, totals: np.ndarray, shared: np.ndarray):
-        self.keys, self.totals, self.shared = keys, totals, shared
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.totals[np.searchsorted(self.keys, keys)]
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, a place of each, and the place of every key among the distinct."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(keys) else np.zeros(0, bool)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], at
 
 
-def known_and_asked(blocks: list[Block], order: int, replies: list[np.ndarray]) -> tuple[list[Counts], tuple[np.ndarray, np.ndarray]]:
-    """Counts of the rounds that replies came for, and what the next round asks: keys ascending, and training counts here.
+def known_and_asked(blocks: list[Block], order: int, replies: list[np.ndarray]) -> tuple[list[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """For each block the corpus counts by order, as far as replies came, and what the next round asks: keys ascending, and training counts here.
 
     An n-gram whose history no other node has is in no other node either.
     """
-    known: list[Counts] = []
+    known: list[list[np.ndarray]] = [[] for _ in blocks]
+    others: list[np.ndarray] = []  # of each block, whether other nodes have its n-grams of the order before
     for r, orders in enumerate(_rounds(order)):
-        some = [(b, n) for b in blocks for n in orders]
-        keys, first, at = np.unique(np.concatenate([b.keys[n - 1] for b, n in some]), return_index=True, return_inverse=True)
-        local = np.bincount(at, weights=np.concatenate([b.counts[n - 1] for b, n in some]), minlength=len(keys)).astype(np.int64)
+        keys, first, at = _distinct(np.concatenate([b.keys[n - 1] for n in orders for b in blocks]))
+        counts = np.bincount(at, weights=np.concatenate([b.counts[n - 1] for n in orders for b in blocks]), minlength=len(keys)).astype(np.int64)
         ask = np.ones(len(keys), bool)
         if r:
-            history = np.concatenate([b.keys[n - 2][b.contexts[n - 1]] for b, n in some])[first]
-            ask = known[-1].shared[np.searchsorted(known[-1].keys, history)]
+            ask = np.concatenate([o[b.contexts[orders[0] - 1]] for o, b in zip(others, blocks)])[first]
         if r == len(replies):
-            return known, (keys[ask], local[ask])
+            return known, (keys[ask], counts[ask])
         shared = np.zeros(len(keys), bool)
-        local[ask], shared[ask] = replies[r] >> 1, (replies[r] & 1).astype(bool)
-        known.append(Counts(keys, local, shared))
+        counts[ask], shared[ask] = replies[r] >> 1, (replies[r] & 1).astype(bool)
+        cuts = np.cumsum([len(b.keys[n - 1]) for n in orders for b in blocks])[:-1]
+        for i, part in enumerate(np.split(at, cuts)):
+            known[i % len(blocks)].append(counts[part])
+        others = [shared[part] for part in np.split(at, cuts)[-len(blocks) :]]
     return known, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -334,7 +316,7 @@ def _opened(sizes: pa.ListScalar, held: pa.ListScalar, texts: bytes, order: int)
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their sums, and the place of each key among them; a node has no key twice."""
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, _, at = _distinct(np.concatenate(keys))
     return distinct, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), at
 
 
@@ -374,7 +356,7 @@ def exchange(asked: DataFrame, n_nodes: int, n_keys: int, parts: int = 0) -> Dat
 
     def back(own: pa.Table, replies: pa.Table) -> pa.Table:
         keys = [_keys(k) for k in own["keys"].to_pylist()]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, _, at = _distinct(np.concatenate(keys))
         replies = replies.sort_by("part")
         totals = np.concatenate([_counts(c) for c in replies["totals"].to_pylist()])
         rest = [0] * (own.num_rows - 1)
@@ -424,22 +406,21 @@ def score(docs: DataFrame, order: int = ORDER, masses: tuple[float, ...] = MASSE
         if not r:
             n_tokens, n_types = (v or 0 for v in found.agg(F.sum("tokens"), F.sum("types")).first())
         answers = answers.unionByName(found) if r else found
+        del asked, found
         drop_finished(docs.sparkSession)
 
     def read(own: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         blocks = _opened(own["sizes"][0], own["held"][0], own["texts"][0].as_py(), order)
         known, _ = known_and_asked(blocks, order, replies_of(replies, len(_rounds(order))))
-        while blocks:
-            block = blocks.pop(0)
-            totals = [known[max(0, n - 2)].of(block.keys[n - 1]) for n in range(1, order + 1)]
+        for block, totals in zip(blocks, known):
             automaton = Automaton(block, totals, n_tokens, n_types, masses)
-            base = np.add.reduceat(automaton.base[block.tokens], block.starts) / math.log(10)
-            found = np.add.reduceat(automaton.known[block.tokens].astype(np.int64), block.starts)
-            tokens, ends = block.tokens.tolist(), (block.starts + block.lengths).tolist()
-            scores = [automaton.traverse(tokens[a:z]) / math.log(10) for a, z in zip(block.starts.tolist(), ends)]
+            tokens = block.grams[0]
+            base = np.add.reduceat(automaton.base[tokens], block.starts) / math.log(10)
+            found = np.add.reduceat(automaton.known[tokens].astype(np.int64), block.starts)
+            scores = [s / math.log(10) for s in automaton.traverse()]
             out.append(pa.table({"n_tokens": pa.array(block.lengths, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array([n_tokens] * len(scores), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())}))
-            del automaton
+        del blocks, known, automaton, block
         hand_back()
         own = own.combine_chunks()
         return pa.concat_tables(out).add_column(0, "held_out", pa.array(own["held"][0].values)).add_column(0, "doc_id", pa.array(own["ids"][0].values))
