@@ -1,9 +1,10 @@
 """Detectors over lines and over whole texts.
 
-Input is any DataFrame with path and content (text). Detectors are unrolled into expressions, so
-that every pattern is a literal that a task compiles once. A text is first tested as a whole,
-behind cheap conditions; only texts that some line detector matches are cut into lines, and a
-line is tested against its text's detectors alone. Nothing is shuffled.
+Input is any DataFrame with path and content (text), read once. Detectors are unrolled into
+expressions, so that every pattern is a literal that a task compiles once. A text is first tested
+as a whole, by cheap conditions that hold wherever a detector matches; only texts that some
+detector may match are cut into lines, and a line is tested against its text's detectors alone.
+Nothing is shuffled. Patterns that would try long runs again at every place have linear forms.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import linear
 from ..functions.text import line_number_of_first, lines_of
 from ..sources.config import Detector
 
@@ -22,14 +24,24 @@ COLUMNS = ("file_path", "line_number", "finding_type", "severity", "matched_cont
 ORDER = ("phase", "detector_ord")
 
 
-def _matches(text: Column, detector: Detector, java: str, gates: dict[str, Column] | None = None) -> Column:
-    """gates: columns that have the results of gate expressions already."""
-    conditions = []
-    if detector.literals:
-        conditions.append(reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in detector.literals]))
-    if detector.gate:
-        conditions.append(gates[detector.gate] if gates else text.rlike(detector.gate))
-    return reduce(lambda a, b: a & b, [*conditions, text.rlike(java)])
+def _literals(text: Column, detector: Detector) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in detector.literals], F.lit(not detector.literals))
+
+
+def _may_match(text: Column, detector: Detector) -> Column:
+    """Whether a whole text may have a match."""
+    return F.lit(True) if detector.anchored and not detector.whole_file else _literals(text, detector) & text.rlike(detector.pretest)
+
+
+def _first_match(text: Column, detector: Detector, i: int, number: Column) -> Column:
+    """(d, line_number, matched_content) of a detector's first match in a text, or null."""
+    if detector.linear:
+        matched = linear.FIRST[detector.linear](text)
+        condition = _literals(text, detector) & (matched != "")
+    else:
+        matched = F.regexp_extract(text, detector.java, 0)
+        condition = _literals(text, detector) & text.rlike(detector.java)
+    return F.when(condition, F.struct(F.lit(i).alias("d"), number.alias("line_number"), matched.alias("matched_content")))
 
 
 def _named(detectors: list[Detector]) -> list[Column]:
@@ -43,55 +55,40 @@ def _named(detectors: list[Detector]) -> list[Column]:
     ]
 
 
-def _empty(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("path").alias("file_path"), F.lit(0).cast("long").alias("line_number"), F.lit("").alias("finding_type"), F.lit("").alias("severity"), F.lit("").alias("matched_content"), F.lit("").alias("plugin_name"), F.lit(0).alias("phase"), F.lit(0).alias("detector_ord")
-    ).where(F.lit(False))
-
-
-def match_lines(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """Findings of line detectors: the first match of each detector on each line."""
-    detectors = [d for d in detectors if not d.whole_file]
-    if not detectors:
-        return _empty(docs)
-    javas = [d.java for d in detectors]
-    content, line = F.col("content"), F.col("line")
-    # Several detectors share a gate, which is worked out once for each text.
-    gates = {g: F.col(f"gate{i}") for i, g in enumerate(sorted({d.gate for d in detectors if d.gate}))}
-    gated = docs.select("path", "content", *[content.rlike(g).alias(f"gate{i}") for i, g in enumerate(gates)])
-    tests = [F.lit(i) if d.anchored else F.when(_matches(content, d, j, gates), i) for i, (d, j) in enumerate(zip(detectors, javas))]
-    hit = gated.select("path", "content", F.array_compact(F.array(*tests)).alias("hits")).where(F.size("hits") > 0)
-    lines = hit.select("path", "hits", F.posexplode(lines_of(content)).alias("at", "line"))
-    found = [F.when(F.array_contains("hits", i) & _matches(line, d, j), F.struct(F.lit(i).alias("d"), F.regexp_extract(line, j, 0).alias("matched_content"))) for i, (d, j) in enumerate(zip(detectors, javas))]
-    rows = lines.select("path", "at", F.explode(F.array_compact(F.array(*found))).alias("f")).select("path", "at", "f.d", "f.matched_content")
-    named = dict(zip(("finding_type", "severity", "plugin_name", "detector_ord"), _named(detectors)))
-    return rows.select(
-        F.col("path").alias("file_path"), (F.col("at") + 1).cast("long").alias("line_number"), named["finding_type"], named["severity"], "matched_content", named["plugin_name"], F.lit(1).alias("phase"), named["detector_ord"]
-    )
-
-
-def match_files(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """Findings of whole-file detectors: the first match of each in each text."""
-    detectors = [d for d in detectors if d.whole_file]
-    if not detectors:
-        return _empty(docs)
-    content = F.col("content")
+def find(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """All findings, with the columns that order them: of each detector the first match in each line, or in the whole text; both kinds may report the same."""
+    content, unit = F.col("content"), F.col("unit")
+    tests = [F.when(_may_match(content, d), i) for i, d in enumerate(detectors)]
+    hit = docs.select("path", "content", F.array_compact(F.array(F.lit(None).cast("int"), *tests)).alias("hits")).where(F.size("hits") > 0)
+
+    # A row for the whole text, where a whole-file detector may match, and one for each line.
+    piece = lambda phase, at, text: F.struct(F.lit(phase).alias("phase"), at.cast("long").alias("at"), text.alias("text"))
+    nothing = F.array().cast("array<struct<phase:int,at:bigint,text:string>>")
+    of_kind = lambda whole: F.arrays_overlap("hits", F.array(*[F.lit(i) for i, d in enumerate(detectors) if d.whole_file == whole]))
+    units = []
+    if any(d.whole_file for d in detectors):
+        units.append(F.when(of_kind(True), F.array(piece(0, F.lit(0), content))).otherwise(nothing))
+    if not all(d.whole_file for d in detectors):
+        units.append(F.when(of_kind(False), F.transform(lines_of(content), lambda line, at: piece(1, at + 1, line))).otherwise(nothing))
+    pieces = hit.select("path", "hits", F.explode(F.concat(*units) if units else nothing).alias("unit")).select("path", "hits", "unit.*")
+
+    text, phase = F.col("text"), F.col("phase")
     found = []
     for i, d in enumerate(detectors):
-        java = d.java
-        match = F.struct(F.lit(i).alias("d"), line_number_of_first(content, java).alias("line_number"), F.regexp_extract(content, java, 0).alias("matched_content"))
-        found.append(F.when(_matches(content, d, java), match))
-    rows = docs.select("path", F.explode(F.array_compact(F.array(*found))).alias("f")).select("path", "f.d", "f.line_number", "f.matched_content")
-    named = dict(zip(("finding_type", "severity", "plugin_name", "detector_ord"), _named(detectors)))
-    return rows.select(F.col("path").alias("file_path"), "line_number", named["finding_type"], named["severity"], "matched_content", named["plugin_name"], F.lit(0).alias("phase"), named["detector_ord"])
+        number = line_number_of_first(text, d.java) if d.whole_file else F.col("at")
+        found.append(F.when((phase == (0 if d.whole_file else 1)) & F.array_contains("hits", i), _first_match(text, d, i, number)))
+    none = F.lit(None).cast("struct<d:int,line_number:bigint,matched_content:string>")
+    rows = pieces.select("path", "phase", F.explode(F.array_compact(F.array(none, *found))).alias("f")).select("path", "phase", "f.*")
+    named = dict(zip(("finding_type", "severity", "plugin_name", "detector_ord"), _named(detectors))) if detectors else dict.fromkeys(("finding_type", "severity", "plugin_name"), F.lit("")) | {"detector_ord": F.lit(0)}
+    named = {name: column.alias(name) for name, column in named.items()}
+    return rows.select(F.col("path").alias("file_path"), "line_number", named["finding_type"], named["severity"], "matched_content", named["plugin_name"], "phase", named["detector_ord"])
 
 
-def find(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
-    """All findings, with the columns that order them; both kinds may report the same."""
-    return match_files(docs, detectors).unionByName(match_lines(docs, detectors))
+def within_file() -> list[Column]:
+    """What orders a file's findings: whole-file ones, then line, then detector."""
+    return [F.col("phase"), F.when(F.col("phase") == 1, F.col("line_number")).otherwise(0), F.col("detector_ord")]
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """Findings in the report's order: path, whole-file ones, line, detector."""
-    line = F.when(F.col("phase") == 1, F.col("line_number")).otherwise(0)
-    return findings.orderBy("file_path", "phase", line, "detector_ord").select(*COLUMNS)
+    """Findings in the report's order: by path, then as within a file."""
+    return findings.orderBy("file_path", *within_file()).select(*COLUMNS)

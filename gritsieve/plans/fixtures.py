@@ -88,3 +88,7 @@ REMOTES = (
 
 EXCLUDES = "src1*/*,*[!0-9][0-4].txt, keep?.md ,src2/**/7*.txt"
 EXCLUDES_RE2 = (r"(?s)^src1.*/.*$", r"(?s)^.*[^0-9][0-4]\.txt$", r"(?s)^keep.\.md$", r"(?s)^src2/([^/]+/)*7.*\.txt$")
+
+#: Files as bytes, some of which are no text; and paths that a scan leaves out.
+BLOBS = (("plain", b"text"), ("empty", b""), ("zero", b"a\0password=x"), ("latin", b"\x80\x81\x82\xff\xfe"), ("mark", b"\xef\xbb\xbfa"), ("wide", "é日\U0001f511".encode()))
+LOGS = ("b.log", "a.log")

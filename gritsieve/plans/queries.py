@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import matching, paths, policy, summary
 from ..sources import config, files, globs
@@ -69,7 +70,10 @@ def findings_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.ordered(table_findings(spark, sf_dir, "documents"))
+    """The report's order, with each finding's place within its file."""
+    found = table_findings(spark, sf_dir, "documents")
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy(*matching.within_file())))
+    return placed.orderBy("file_path", "place").select(*matching.COLUMNS, "place")
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +102,7 @@ def repo_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of some byte strings are text."""
-    blobs = [("plain", b"text"), ("empty", b""), ("zero", b"a\0password=x"), ("latin", b"\x80\x81\x82\xff\xfe"), ("mark", b"\xef\xbb\xbfa"), ("wide", "é日\U0001f511".encode())]
-    return files.texts(spark.createDataFrame(blobs, "path string, content binary"))
+    return files.texts(spark.createDataFrame(fixtures.BLOBS, "path string, content binary"))
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +110,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .report import report_frame
 
     texts = spark.createDataFrame(fixtures.detector_corpus(), "path string, content string")
-    excluded = spark.createDataFrame([("b.log",), ("a.log",)], "path string")
+    excluded = spark.createDataFrame([(p,) for p in fixtures.LOGS], "path string")
     return report_frame(matching.find(texts, config.built_in()), texts, excluded, "0.0s").select(F.to_json(F.struct("*")).alias("report"))
 
 
@@ -159,9 +162,9 @@ def findings_sql(texts: str) -> str:
         if d.whole_file:
             match = f"regexp_extract(content, {pattern}, 0)"
             number = f"CAST(len(content[:instr(content, {match}) - 1]) - len(replace(content[:instr(content, {match}) - 1], chr(10), '')) + 1 AS BIGINT)"
-            parts.append(f"SELECT path AS file_path, {number} AS line_number, {fixed}, {match} AS matched_content, {quoted(d.name)} AS plugin_name FROM texts WHERE regexp_matches(content, {pattern})")
+            parts.append(f"SELECT path AS file_path, {number} AS line_number, {fixed}, {match} AS matched_content, {quoted(d.name)} AS plugin_name, 0 AS phase, {d.ordinal} AS ord FROM texts WHERE regexp_matches(content, {pattern})")
         else:
-            parts.append(f"SELECT path AS file_path, line_number, {fixed}, regexp_extract(line, {pattern}, 0) AS matched_content, {quoted(d.name)} AS plugin_name FROM lines WHERE regexp_matches(line, {pattern})")
+            parts.append(f"SELECT path AS file_path, line_number, {fixed}, regexp_extract(line, {pattern}, 0) AS matched_content, {quoted(d.name)} AS plugin_name, 1 AS phase, {d.ordinal} AS ord FROM lines WHERE regexp_matches(line, {pattern})")
     union = "\n  UNION ALL ".join(parts)
     return f"""texts AS ({texts}),
 split AS (SELECT path, string_split(content, chr(10)) AS parts FROM texts),
@@ -184,10 +187,11 @@ TARGETS_SQL = """SELECT source || '/' || CASE WHEN source LIKE '%7' THEN '.git/'
 
 
 def oracle_sql() -> dict[str, str]:
-    documents = "WITH " + findings_sql(texts_sql("documents"))
-    found = {f"scan_{t}": f"WITH {findings_sql(texts_sql(t))}\nSELECT * FROM findings" for t in TABLES}
-    found["scan_fixture_corpus"] = f"WITH {findings_sql(_values(fixtures.detector_corpus(), 'path, content'))}\nSELECT * FROM findings"
-    found["multiline_fixture"] = f"WITH {findings_sql(_values(fixtures.line_corpus(), 'path, content'))}\nSELECT * FROM findings"
+    documents, columns = "WITH " + findings_sql(texts_sql("documents")), ", ".join(matching.COLUMNS)
+    found = {f"scan_{t}": f"WITH {findings_sql(texts_sql(t))}\nSELECT {columns} FROM findings" for t in TABLES}
+    corpus = findings_sql(_values(fixtures.detector_corpus(), "path, content"))
+    found["scan_fixture_corpus"] = f"WITH {corpus}\nSELECT {columns} FROM findings"
+    found["multiline_fixture"] = f"WITH {findings_sql(_values(fixtures.line_corpus(), 'path, content'))}\nSELECT {columns} FROM findings"
     high = "count(*) FILTER (severity = 'HIGH')"
     found["severity_counts"] = f"{documents}\nSELECT {high} AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) AS findings FROM findings"
     benchmark = findings_sql(texts_sql("benchmark"))
@@ -199,7 +203,16 @@ FROM c, (VALUES ('always'), ('critical'), ('strict')) AS m(mode)"""
     found["files_and_lines"] = f"{documents}\nSELECT (SELECT count(*) FROM texts) AS files_scanned, (SELECT count(*) FROM lines) AS total_lines"
     found["findings_by_detector"] = f"{documents}\nSELECT plugin_name, severity, count(*) AS findings, count(DISTINCT file_path) AS files FROM findings GROUP BY ALL"
     found["findings_by_document"] = f"{documents}\nSELECT file_path, count(*) AS findings, {high} AS high FROM findings GROUP BY file_path"
-    found["findings_ordered"] = f"{documents}\nSELECT * FROM findings"
+    within = "phase, CASE WHEN phase = 1 THEN line_number ELSE 0 END, ord"
+    found["findings_ordered"] = f"{documents}\nSELECT {columns}, CAST(row_number() OVER (PARTITION BY file_path ORDER BY {within}) AS INTEGER) AS place FROM findings"
+    blobs = ", ".join(f"({quoted(p)}, unhex('{b.hex()}'))" for p, b in fixtures.BLOBS)
+    found["readable_files"] = f"SELECT path, content FROM (SELECT path, TRY(decode(b)) AS content FROM (VALUES {blobs}) AS v(path, b)) WHERE content IS NOT NULL AND NOT contains(content, chr(0))"
+    fields = ", ".join(f"'{c}': {c}" for c in matching.COLUMNS)
+    logs = ", ".join(map(quoted, sorted(fixtures.LOGS)))
+    found["report_json"] = f"""WITH {corpus}
+SELECT CAST(to_json({{'status': (SELECT CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END FROM findings),
+  'findings': (SELECT list({{{fields}}} ORDER BY file_path, {within}) FROM findings),
+  'files_scanned': (SELECT count(*) FROM texts), 'total_lines': (SELECT count(*) FROM lines), 'excluded_files': [{logs}], 'scan_time': '0.0s'}}) AS VARCHAR) AS report"""
     found["distinct_targets"] = f"SELECT DISTINCT path, source AS roots FROM ({TARGETS_SQL})"
     out = " OR ".join(f"regexp_matches(t, {quoted(p)})" for p in fixtures.EXCLUDES_RE2)
     flagged = f"""WITH targets AS (SELECT DISTINCT path, source FROM ({TARGETS_SQL})), flagged AS (

@@ -7,6 +7,7 @@ import tomllib
 from dataclasses import dataclass
 from pathlib import Path
 
+from ..functions import linear
 from ..functions.dialect import PatternError, java_pattern
 from . import catalogue
 
@@ -40,8 +41,14 @@ class Detector:
         return catalogue.LITERALS.get(self.name, ()) if self._built_in else ()
 
     @property
-    def gate(self) -> str | None:
-        return catalogue.GATES.get(self.name) if self._built_in else None
+    def pretest(self) -> str:
+        """What a text must match as a whole for the pattern to match in it."""
+        return catalogue.PRETESTS.get(self.name, self.java) if self._built_in else self.java
+
+    @property
+    def linear(self) -> str | None:
+        """Which expression of functions.linear finds the first match in time linear in the text, where the pattern itself would not."""
+        return self.name if self._built_in and self.name in linear.FIRST else None
 
     @property
     def _built_in(self) -> bool:

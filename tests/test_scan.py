@@ -2,14 +2,16 @@
 
 import json
 import os
+import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gritsieve import cli
-from gritsieve.functions import text
+from gritsieve.functions import linear, text
 from gritsieve.functions.dialect import PatternError, java_pattern
 from gritsieve.operators import matching, policy, summary
 from gritsieve.plans import fixtures, hooks, queries, report
@@ -245,9 +247,49 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_plan_is_one_scan_of_two_columns(spark):
-    plan = matching.match_lines(queries.table_texts(spark, SF, "documents"), config.built_in())._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    """All detectors, of lines and of whole files."""
+    plan = queries.table_findings(spark, SF, "documents")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Union" not in plan
+    assert plan.count("FileScan") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+PIECES = ["a", ".", "@", "-", "é", "/", ":", "redis://", "mongodb://", "MySQL://", "mongodb+srv://", "co", "m_", "%", " ", "'", '"', "=", "\u00a0", "\n", "@@", ".b@c.de", "u:p@h", "eyJ", ".eyJa", "1", "٢", "sk_", "ſ"]
+
+
+def random_texts():
+    rng = random.Random(11)
+    made = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 40))) for _ in range(6000)]
+    corpus = [t for _, t in fixtures.detector_corpus()]
+    for _ in range(4000):
+        text = list(" ".join(rng.choice(["x", "é", "", "1"]) + t for t in rng.sample(corpus, 2)))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 2)] = rng.choice(["", "a", "1", "é", "\u00a0", "٣", "K", "ſ", "-", ".", text[at].swapcase()])
+        made.append("".join(text))
+    return made
+
+
+def test_linear_forms_and_pretests_equal_the_patterns(spark):
+    detectors = config.built_in()
+    docs = spark.createDataFrame([(t,) for t in random_texts()], "t string").repartition(4)
+    t = F.col("t")
+    for d in detectors:
+        if d.linear:
+            wrong = docs.where(linear.FIRST[d.linear](t) != F.regexp_extract(t, d.java, 0)).limit(1).collect()
+            assert not wrong, (d.name, wrong)
+    matched = [F.count_if(t.rlike(d.java)).alias(f"m{i}") for i, d in enumerate(detectors)]
+    lost = [F.count_if(t.rlike(d.java) & ~matching._may_match(t, d)).alias(f"l{i}") for i, d in enumerate(detectors)]
+    row = docs.agg(*matched, *lost).first()
+    assert not any(row[f"l{i}"] for i in range(len(detectors)))
+    assert sum(row[f"m{i}"] > 0 for i in range(len(detectors))) >= len(detectors) - 1  # a block that goes over lines is left out
+
+
+@pytest.mark.parametrize("run", ["a.", "redis://", "mongodb://", "a@", "1 ", "pwd ", "eyJ", "aB3+"])
+def test_a_megabyte_on_one_line(spark, run):
+    began = time.monotonic()
+    text = run * (1_000_000 // len(run))
+    found(spark, f"x@y.zz {text}\nx@")
+    assert time.monotonic() - began < 60
 
 
 def test_files_source(spark, tmp_path):
