@@ -1,4 +1,4 @@
-"""Command line: scan paths; exit 0, 1 for findings, 2 for an error."""
+"""Command line: scan paths, check and install hooks; exit 0, 1 for findings, 2 for an error."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators.summary import EXIT_MODES, exit_code
-from .plans import hooks, report
+from .plans import hooks, install, report
 from .plans.scan import ScanOptions, run_scan
 
 
@@ -35,9 +35,35 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("--allowed-repos")
     check.add_argument("--blocked-repos")
     check.add_argument("--exclude")
+    hook = commands.add_parser("hook", help="git hooks").add_subparsers(dest="action", required=True)
+    for action in ("install", "uninstall"):
+        one = hook.add_parser(action)
+        one.add_argument("hook_type", choices=(hooks.PRE_COMMIT, hooks.PRE_PUSH))
+        one.add_argument("--global", dest="everywhere", action="store_true")
+        if action == "install":
+            one.add_argument("--allowed-repos")
+            one.add_argument("--blocked-repos")
+            one.add_argument("--exclude")
+    commands.add_parser("init", help="aliases for a shell").add_argument("shell", choices=install.SHELLS)
+    commands.add_parser("verify-integrity")
     return top
 
 
+def without_spark(given: argparse.Namespace) -> bool:
+    """Runs a command that needs no session; whether it was one."""
+    if given.command == "hook" and given.action == "install":
+        install.install(hooks.HookOptions(given.hook_type, given.allowed_repos, given.blocked_repos, given.exclude), given.everywhere)
+    elif given.command == "hook":
+        install.uninstall(given.hook_type, given.everywhere)
+    elif given.command == "init":
+        print(install.shell_aliases(given.shell), end="")
+    elif given.command == "verify-integrity":
+        install.verify(__file__)
+    else:
+        return False
+    return True
+
+
 def scan_command(spark: SparkSession, options: ScanOptions) -> int:
     result = run_scan(spark, options)
     text = report.report_json(result)
@@ -53,6 +79,8 @@ def scan_command(spark: SparkSession, options: ScanOptions) -> int:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(arguments)
     try:
+        if without_spark(given):
+            return 0
         if given.command == "check":
             options = hooks.HookOptions(given.hook_type, given.allowed_repos, given.blocked_repos, given.exclude)
             check = hooks.check_commit if given.hook_type == hooks.PRE_COMMIT else hooks.check_push

@@ -1,4 +1,4 @@
-"""Checks that a git hook makes; hooks themselves are not installed."""
+"""Checks that a git hook makes."""
 
 from __future__ import annotations
 

@@ -14,7 +14,7 @@ from gritsieve import cli
 from gritsieve.functions import linear, text
 from gritsieve.functions.dialect import PatternError, java_pattern
 from gritsieve.operators import matching, policy, summary
-from gritsieve.plans import fixtures, hooks, queries, report
+from gritsieve.plans import fixtures, hooks, install, queries, report
 from gritsieve.plans.scan import ScanOptions, run_scan
 from gritsieve.sources import config, globs, listing
 from gritsieve.streaming.findings import stream_findings, write_stream
@@ -235,6 +235,45 @@ def test_hook_checks(spark, tmp_path):
     assert hooks.check_push(spark, hooks.HookOptions("pre-push"), str(tmp_path), "", said.append) == 1
 
 
+def test_hooks_are_installed_and_removed(tmp_path, monkeypatch, capsys):
+    for name in ("APPDATA", "USERPROFILE", "XDG_CONFIG_HOME"):
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(tmp_path / "gitconfig"))
+    (tmp_path / "r").mkdir()
+    monkeypatch.chdir(tmp_path / "r")
+    assert cli.main(["hook", "install", "pre-commit"]) == 2  # no repository
+    subprocess.run(["git", "init", "-q", "."], check=True)
+    path = tmp_path / "r/.git/hooks/pre-commit"
+    assert cli.main(["hook", "uninstall", "pre-commit"]) == 0
+    assert cli.main(["hook", "install", "pre-commit", "--exclude", "it's,*.log"]) == 0 and cli.main(["hook", "install", "pre-commit", "--exclude", "it's,*.log"]) == 0
+    text = path.read_text()
+    assert install.MARK in text and os.access(path, os.X_OK)
+    shown = subprocess.run(["sh", "-c", text.replace(" exec ", " printf '%s|' ")], capture_output=True, text=True, check=True).stdout
+    assert shown.split("|")[1:-1] == ["-m", "gritsieve", "check", "pre-commit", "--exclude", "it's,*.log"]
+    assert cli.main(["hook", "uninstall", "pre-commit"]) == 0 and not path.exists()
+    path.write_text("#!/bin/sh\nexit 0\n")
+    assert cli.main(["hook", "install", "pre-commit"]) == cli.main(["hook", "uninstall", "pre-commit"]) == 2 and "exit 0" in path.read_text()
+    assert cli.main(["hook", "install", "pre-commit", "--allowed-repos", "a"]) == cli.main(["hook", "install", "pre-push", "--exclude", "a"]) == 2
+    everywhere = tmp_path / "home/.config/gritsieve/hooks/pre-push"
+    assert cli.main(["hook", "install", "pre-push", "--global", "--blocked-repos", "x"]) == 0 and "'--blocked-repos' 'x'" in everywhere.read_text()
+    assert install.global_folder() == everywhere.parent
+    assert cli.main(["hook", "uninstall", "pre-push", "--global"]) == 0 and not everywhere.exists()
+    assert [str(install.own_global_folder(v)) for v in ({"XDG_CONFIG_HOME": "/x", "HOME": "/h"}, {"APPDATA": "/a"}, {"USERPROFILE": "/u"})] == ["/x/gritsieve/hooks", "/a/gritsieve/hooks", "/u/.config/gritsieve/hooks"]
+    with pytest.raises(install.HookError):
+        install.own_global_folder({})
+
+
+def test_aliases_and_integrity(tmp_path, capsys):
+    assert cli.main(["init", "fish"]) == cli.main(["init", "bash"]) == cli.main(["verify-integrity"]) == 0
+    said = capsys.readouterr().out
+    assert "alias gs '" in said and "alias gs='" in said and "cli.py" in said
+    program = tmp_path / "p"
+    program.write_text("x")
+    program.chmod(0o777)
+    assert not install.verify(program)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     texts = spark.createDataFrame(fixtures.detector_corpus(), "path string, content string")
     texts.repartition(3).write.parquet(str(tmp_path / "in"))
