@@ -19,7 +19,7 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a copy of all pages' records in which every 97th page is damaged and every 89th missing."""
     pages = table(spark, sf_dir, "pages")
     page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
-    damaged = F.when(page % 97 == 5, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("~"))).otherwise(html)
+    damaged = F.when(page % 97 == 5, F.concat(F.left(html, F.length(html) - 1), F.lit("~"))).otherwise(html)
     record = warc_audit.record_bytes(page, F.col("url"), html)
     copy = F.when(F.coalesce(page % 89 == 7, F.lit(False)), F.lit(None)).otherwise(warc_audit.digest(warc_audit.record_bytes(page, F.col("url"), damaged)))
     records = pages.select("page_id", F.octet_length(record).cast("long").alias("length"), warc_audit.digest(record).alias("digest"), copy.alias("copy"))

@@ -1,5 +1,6 @@
 """Licence scan, mixing and the fixity audit against brute force; the pipeline."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -202,6 +203,24 @@ def test_op2_equals_its_damage(spark):
         assert r.finding == ("missing" if r.page_id % 89 == 7 else "damaged" if r.page_id % 97 == 5 else "sound")
 
 
+def test_op2_of_odd_pages(spark, tmp_path):
+    """Null html and url, no id, repeated rows, long pages, extra columns of clashing names; and no rows."""
+    rows = [(5, None, None), (7, "u", "x"), (7, "u", "x"), (None, "u", "y"), (102, "u", ""), (8, "ü", "z" * 200_000), (8, "ü", "z" * 200_000), (194, None, "é")]
+    spark.createDataFrame([(*r, "o", "s", 1) for r in rows], "page_id long, url string, html string, copy string, digest string, length int").write.parquet(str(tmp_path / "a/pages.parquet"))
+
+    def record(page_id, url, html):
+        body = (html or "").encode()
+        return (f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    found = op2_warc_fixity(spark, str(tmp_path / "a")).collect()
+    wanted = Counter((r[0], hashlib.sha256(record(*r)).hexdigest(), len(record(*r)), "missing" if r[0] == 7 else "damaged" if r[0] in (5, 102) else "sound") for r in rows)
+    assert Counter((r.page_id, r.record_sha256, r.length, r.finding) for r in found) == wanted
+    spans = sorted((r.offset, r.length) for r in found)
+    assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "b/pages.parquet"))
+    assert op2_warc_fixity(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_layout(spark):
     rows = spark.createDataFrame([(None, 40_000_000, "a"), (1, 40_000_000, "b"), (1, 40_000_000, "b"), (0, 10, "c")], "page_id long, length long, digest string")
     placed = warc_audit.laid_out(rows, [F.col("page_id").asc_nulls_last(), F.col("digest")]).collect()

@@ -61,6 +61,16 @@ def test_op4_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_round_trip_of_odd_rows(spark):
+    library = Tokenizer.from_file(BYTES)
+    rows = [(1, None), (2, ""), (None, "no id"), (3, "é b" * 30_000), (4, "again"), (4, "again"), (5, "<|endoftext|> x")]
+    docs = spark.createDataFrame([(*r, 7, "y") for r in rows], "doc_id long, text string, n_tokens int, ids string").repartition(3)
+    wanted = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t or "") for i, t in rows]
+    got = bpe.round_trip(docs, BYTES).collect()
+    assert sorted(map(str, ((r.doc_id, bytes(r.ids), r.text) for r in got))) == sorted(map(str, wanted))
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got) and bpe.round_trip(docs.limit(0), BYTES).count() == 0
+
+
 def expected_store(rows):
     library, out, start = Tokenizer.from_file(WORDS), [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
