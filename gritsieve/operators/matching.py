@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linear
 from ..functions.text import line_number_of_first, lines_of
+from ..sources import catalogue
 from ..sources.config import Detector
 
 #: Columns of a finding, in the order of the report.
@@ -28,9 +29,12 @@ def _literals(text: Column, detector: Detector) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in detector.literals], F.lit(not detector.literals))
 
 
-def _may_match(text: Column, detector: Detector) -> Column:
-    """Whether a whole text may have a match."""
-    return F.lit(True) if detector.anchored and not detector.whole_file else _literals(text, detector) & text.rlike(detector.pretest)
+def _may_match(text: Column, detector: Detector, gates: dict[str, Column] | None = None) -> Column:
+    """Whether a whole text may have a match. gates: columns that have the results of shared expressions already."""
+    if detector.anchored and not detector.whole_file:
+        return F.lit(True)
+    gate = F.lit(True) if detector.gate is None else gates[detector.gate] if gates else text.rlike(catalogue.GATES[detector.gate])
+    return _literals(text, detector) & gate & text.rlike(detector.pretest)
 
 
 def _first_match(text: Column, detector: Detector, i: int, number: Column) -> Column:
@@ -58,8 +62,10 @@ def _named(detectors: list[Detector]) -> list[Column]:
 def find(docs: DataFrame, detectors: list[Detector]) -> DataFrame:
     """All findings, with the columns that order them: of each detector the first match in each line, or in the whole text; both kinds may report the same."""
     content, unit = F.col("content"), F.col("unit")
-    tests = [F.when(_may_match(content, d), i) for i, d in enumerate(detectors)]
-    hit = docs.select("path", "content", F.array_compact(F.array(F.lit(None).cast("int"), *tests)).alias("hits")).where(F.size("hits") > 0)
+    gates = {name: F.col(f"gate_{name}") for name in catalogue.GATES if any(d.gate == name for d in detectors)}
+    gated = docs.select("path", "content", *[content.rlike(catalogue.GATES[name]).alias(f"gate_{name}") for name in gates])
+    tests = [F.when(_may_match(content, d, gates), i) for i, d in enumerate(detectors)]
+    hit = gated.select("path", "content", F.array_compact(F.array(F.lit(None).cast("int"), *tests)).alias("hits")).where(F.size("hits") > 0)
 
     # A row for the whole text, where a whole-file detector may match, and one for each line.
     piece = lambda phase, at, text: F.struct(F.lit(phase).alias("phase"), at.cast("long").alias("at"), text.alias("text"))

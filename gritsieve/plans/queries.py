@@ -31,7 +31,7 @@ def table_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def table_findings(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return matching.find(table_texts(spark, sf_dir, table), config.built_in())
+    return matching.find(files.spread(table_texts(spark, sf_dir, table)), config.built_in())
 
 
 def _scan(table: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -45,6 +45,11 @@ class Detector:
         """What a text must match as a whole for the pattern to match in it."""
         return catalogue.PRETESTS.get(self.name, self.java) if self._built_in else self.java
 
+    @property
+    def gate(self) -> str | None:
+        """Which shared expression stands before the pretest."""
+        return catalogue.GATED.get(self.name) if self._built_in else None
+
     @property
     def linear(self) -> str | None:
         """Which expression of functions.linear finds the first match in time linear in the text, where the pattern itself would not."""

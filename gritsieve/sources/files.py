@@ -50,6 +50,20 @@ def texts(files: DataFrame) -> DataFrame:
     return files.where(readable(F.col("content"))).select("path", F.col("content").cast("string").alias("content"))
 
 
+#: Bytes of a table for each core, up to which it may be dealt out.
+SPREAD_BYTES = 1 << 26
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deals the rows of a small table in fewer files than cores over all cores.
+
+    Spark can't cut a row group, so that such a table would be the work of a few tasks. A larger one stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size <= cores * SPREAD_BYTES and len(table.inputFiles()) < cores else table
+
+
 def column_texts(df: DataFrame, path, content: str) -> DataFrame:
     """(path, content) of a table's text column."""
     return df.select(path.cast("string").alias("path"), F.col(content).alias("content")).where("content is not null")

@@ -287,7 +287,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_plan_is_one_scan_of_two_columns(spark):
     """All detectors, of lines and of whole files."""
-    plan = queries.table_findings(spark, SF, "documents")._jdf.queryExecution().executedPlan().toString()
+    plan = matching.find(queries.table_texts(spark, SF, "documents"), config.built_in())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Union" not in plan
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
