@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,9 +46,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def drop_finished(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more; it acts on the driver's garbage collection.
+
+    Twice, since what the first one frees holds other objects until it is itself collected.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 #: Bytes of rows in one Arrow batch, and so much of what a Python worker holds.

@@ -1,9 +1,9 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
 Edges stay in tables throughout; the driver sees a count and a checksum for each round. Each
-round is checkpointed. The number of rounds grows with the logarithm of a component's size. The
-edges of a hub, or of a large component's root, stay where they are: what they are joined with is
-broadcast for the few nodes that have very many.
+round is checkpointed. The number of rounds grows with the logarithm of a component's size. A hub's
+edges, or those of a large component's root, are joined with one row: adaptive execution splits
+such a partition, and minima are pre-aggregated by task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, materialize
+from .common import materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,10 +24,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_by_key(both, least, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_by_key(large, lower, "u", "n", 2 * state[0])
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u")
         links = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         edges = materialize(links.distinct())
         was, state = state, _state(edges)

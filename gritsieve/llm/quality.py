@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_field, map_arrow, portions
+from .common import hand_back, id_field, map_arrow, portions
 
 LEAST_WORDS = 50
 KEEP_SHARE = 0.5
@@ -289,7 +289,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(vectors, pa.binary())], names=["quality", "features"])
 
     rows = map_arrow(some.select("text", "quality"), run, "quality int, features binary").where("length(features) > 0").collect()
-    return learn([(np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float), r.quality) for r in rows])
+    field = learn([(np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float), r.quality) for r in rows])
+    del rows
+    hand_back()
+    return field
 
 
 def judge(page: Page, field: Field | None) -> tuple[bool, float]:
