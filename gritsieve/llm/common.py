@@ -112,8 +112,16 @@ def hand_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of a table for each core, up to which it may be dealt out.
+SPREAD_BYTES = 1 << 26
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder. One in fewer files than cores is dealt over all cores if it is small, since Spark can't cut a row group; rows are the same."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return read.repartition(cores) if size <= cores * SPREAD_BYTES and len(read.inputFiles()) < cores else read
 
 
 def text_or_empty(column: str = "text") -> Column:
