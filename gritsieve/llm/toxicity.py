@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, id_field, map_arrow, materialize, portions
+from .common import fold_remainder, hand_back, id_field, map_arrow, materialize, portions
 
 FOLDS = 3
 HELD_OUT = 1
@@ -177,7 +177,7 @@ def restored(token: str, model: CharModel) -> str:
     return " ".join(decode(word[p], model) for p in _parts(len(word))) if _DISGUISED.match(word) else word
 
 
-_DOUBLED = re.compile(r"(.)\1+")
+_DOUBLED, _TRIPLED = re.compile(r"(.)\1+"), re.compile(r"(.)\1\1")
 
 
 def features_of(word: str) -> list[str]:
@@ -191,6 +191,9 @@ def features_of(word: str) -> list[str]:
 
 def token_features(token: str, model: CharModel) -> set[str]:
     """Features of a token's words, as written and restored."""
+    bare = token.rstrip(".,;:!?")
+    if bare.isalpha() and not _TRIPLED.search(word := bare.lower()):
+        return set(features_of(word))  # one word without disguise: what follows would give the same
     words = {*_PIECE.findall(token.lower()), *_PIECE.findall(restored(token, model))}
     return {f for w in words for f in features_of(w)}
 
@@ -338,6 +341,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     rows = map_arrow(sample, find, "x binary, toxic int").groupBy("x", "toxic").count().collect()  # at most TRAIN_DOCS
     weights, bias = _logistic(sorted((bytes(r.x), r.toxic, r["count"]) for r in rows), len(names))
+    del rows, grams, chosen
+    hand_back()
     return Scorer(trigrams, dict(zip(names, weights)), bias)
 
 
