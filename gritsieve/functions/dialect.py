@@ -3,6 +3,9 @@
 The configuration's dialect is Unicode-aware, runs in linear time and has neither look-around
 nor back-references. What Java would read otherwise is rewritten, and what it can't express the
 same way is refused. Matching by Java backtracks: a pattern with nested repetition can be slow.
+
+Beside it there is the ASCII reading, which is RE2's and so that of the SQL of the queries: classes and word
+boundaries know ASCII alone, and only folding of case goes beyond it.
 """
 
 from __future__ import annotations
@@ -11,6 +14,15 @@ import re
 
 #: Unicode classes and folding, and only \n as a line end.
 PREFIX = "(?Ud)"
+#: In the ASCII reading, where all else is written out.
+ASCII_PREFIX = "(?d)"
+
+_WORD = "[0-9A-Za-z_]"
+#: Word boundaries of the ASCII reading (Java's own take letters and digits beyond ASCII for words), and what is blank.
+ASCII_EDGES = {"b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", "B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"}
+ASCII_BLANKS = r"\t\n\f\r "
+#: Characters beyond ASCII that fold to an ASCII letter; Java would fold a dotless i as well.
+FOLDED = {"k": r"\x{212A}", "s": r"\x{17F}"}
 
 _POSIX = {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\x00-\x7F", "blank": r" \t", "cntrl": r"\p{Cntrl}", "digit": "0-9", "graph": r"!-~", "lower": "a-z", "print": r" -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": r"0-9A-Za-z_", "xdigit": "0-9A-Fa-f"}
 _ASCII = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "cntrl": r"\x00-\x1F\x7F"}
@@ -21,9 +33,9 @@ class PatternError(ValueError):
     pass
 
 
-def java_pattern(pattern: str) -> str:
+def java_pattern(pattern: str, ascii: bool = False) -> str:
     """The pattern for Spark's functions, flags included; PatternError if there is none."""
-    return PREFIX + _Translator(pattern).run()
+    return ASCII_PREFIX + _AsciiTranslator(pattern).run() if ascii else PREFIX + _Translator(pattern).run()
 
 
 class _Translator:
@@ -51,9 +63,12 @@ class _Translator:
                 self.put(self.text[self.at : end], end - self.at)
                 repeated = True
             else:
-                self.put(c, 1)
+                self.plain(c)
         return "".join(self.out)
 
+    def plain(self, c: str) -> None:
+        self.put(c, 1)
+
     def put(self, piece: str, used: int) -> None:
         self.out.append(piece)
         self.at += used
@@ -124,3 +139,53 @@ class _Translator:
 
     def _after_range(self) -> bool:
         return bool(re.search(r"[^\\]-[^\]]$", "".join(self.out[-3:]))) and len(self.out) >= 3
+
+
+class _AsciiTranslator(_Translator):
+    """Java folds ASCII letters here; the two that others fold to are given these beside them."""
+
+    def __init__(self, pattern: str):
+        super().__init__(pattern)
+        self.folds = [False]  # of each open group, whether case is folded at this place
+
+    def plain(self, c: str) -> None:
+        if c == ")" and len(self.folds) > 1:
+            self.folds.pop()
+        if self.folds[-1] and c.lower() in FOLDED:
+            self.put(f"[{c}{FOLDED[c.lower()]}]", 1)
+        elif self.folds[-1] and not c.isascii():
+            raise PatternError(f"folding beyond ASCII is not supported, at {self.at}")
+        else:
+            self.put(c, 1)
+
+    def escape(self, inside: bool) -> None:
+        nxt = self.text[self.at + 1 : self.at + 2]
+        if nxt == "s":
+            self.put(ASCII_BLANKS if inside else f"[{ASCII_BLANKS}]", 2)
+        elif nxt == "S":
+            self.put(r"\S\x0B" if inside else f"[^{ASCII_BLANKS}]", 2)
+        elif nxt in ASCII_EDGES and not inside and self.text[self.at + 2 : self.at + 3] != "{":
+            self.put(ASCII_EDGES[nxt], 2)
+        else:
+            super().escape(inside)
+
+    def group(self) -> None:
+        began = self.at
+        super().group()
+        m = re.match(r"\(\?([a-z]*)(?:-([a-z]+))?([:)])", self.text[began : self.at])
+        on, off, end = m.groups("") if m else ("", "", "")
+        fold = "i" in on or self.folds[-1] and "i" not in off
+        if end == ")":
+            self.folds[-1] = fold
+        else:
+            self.folds.append(fold)
+
+    def char_class(self) -> None:
+        began, at = self.at, len(self.out)
+        super().char_class()
+        if self.folds[-1]:
+            written = self.text[began : self.at]
+            if "[" in written[1:] or not written.isascii():
+                raise PatternError(f"folding of such a class is not supported, at {began}")
+            some = re.compile("[" + written[1:].removeprefix("^"), re.ASCII | re.IGNORECASE)
+            self.out.insert(at + 1 + written.startswith("[^"), "".join(x for letter, x in FOLDED.items() if some.match(letter)))

@@ -40,7 +40,7 @@ def _may_match(text: Column, detector: Detector, gates: dict[str, Column] | None
 def _first_match(text: Column, detector: Detector, i: int, number: Column) -> Column:
     """(d, line_number, matched_content) of a detector's first match in a text, or null."""
     if detector.linear:
-        matched = linear.FIRST[detector.linear](text)
+        matched = linear.FIRST[detector.linear](text, detector.ascii)
         condition = _literals(text, detector) & (matched != "")
     else:
         matched = F.regexp_extract(text, detector.java, 0)

@@ -26,6 +26,7 @@ class Detector:
     pattern: str
     finding_type: str
     severity: str
+    ascii: bool = False  # read as RE2 does (see functions.dialect)
 
     @property
     def whole_file(self) -> bool:
@@ -34,7 +35,7 @@ class Detector:
 
     @property
     def java(self) -> str:
-        return java_pattern(self.pattern)
+        return java_pattern(self.pattern, self.ascii)
 
     @property
     def literals(self) -> tuple[str, ...]:
@@ -71,8 +72,8 @@ def normal_severity(text: str) -> str:
     return upper if upper in ("HIGH", "MEDIUM") else "LOW"
 
 
-def built_in() -> list[Detector]:
-    return [Detector(i, name, pattern, kind, normal_severity(severity)) for i, (name, severity, kind, pattern) in enumerate(catalogue.DETECTORS)]
+def built_in(ascii: bool = False) -> list[Detector]:
+    return [Detector(i, name, pattern, kind, normal_severity(severity), ascii) for i, (name, severity, kind, pattern) in enumerate(catalogue.DETECTORS)]
 
 
 def config_path() -> Path | None:

@@ -6,6 +6,8 @@ import random
 import subprocess
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,41 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def sql_findings(texts):
+    """Findings of some (path, content) by the queries' SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    table = pa.table({"path": [p for p, _ in texts], "content": [t for _, t in texts]})
+    connection.register("given", table)
+    return connection.execute(f"WITH {queries.findings_sql('SELECT path, content FROM given')} SELECT {', '.join(matching.COLUMNS)} FROM findings").fetchall()
+
+
+#: Words of over 20 letters, numbers and addresses beside letters, digits and blanks beyond ASCII, as texts have them.
+BEYOND_ASCII = ["der erungtztzeinlichkeit\u00fc", "\u00f1ci\u00f3nmentellosmentequemente porci\u00f3n\nx", "schachtzheitenachlich\u00e4 einbereinheitheitber", "\u00e9123-45-6789", "\u0661\u0662\u0663-45-6789", "to\u212aen=aaaaaaaaaa", "pwd\u00a0: x", "pwd \x0b: x", "cred\u0131\u0131tial credent\u0131al=aaaaaaaaaa", "pa\u017fsword: x", "\u00e9a@b.co\u00e9 a@b.co", "my\u017fql://u@h\u00a0x", "red\u0131s://u@h", "GHP_" + "a" * 35 + "\u017f"]
+
+
+@pytest.mark.parametrize("name", ["findings_by_document", "scan_documents", "scan_pages", "findings_by_detector", "findings_ordered", "scan_conversations", "severity_counts"])
+def test_queries_equal_sql_beyond_ascii(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    n = list(range(len(BEYOND_ASCII)))
+    tables = {"documents": {"doc_id": n, "text": BEYOND_ASCII}, "pages": {"page_id": n, "html": BEYOND_ASCII}, "conversations": {"conv_id": n, "turn": n, "text": BEYOND_ASCII}}
+    for table, columns in tables.items():
+        pq.write_table(pa.table(columns), tmp_path / f"{table}.parquet")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = connection.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in entry.queries()[name](spark, str(tmp_path)).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_ascii_reading_equals_sql_on_random_texts(spark):
+    """With all its pretests and linear forms."""
+    texts = [(str(i), t) for i, t in enumerate([*BEYOND_ASCII, *random_texts()])]
+    docs = spark.createDataFrame(texts, "path string, content string").repartition(4)
+    got = [tuple(r) for r in matching.find(docs, config.built_in(ascii=True)).select(*matching.COLUMNS).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, sql_findings(texts)))
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
@@ -96,6 +133,14 @@ def test_dialect():
             java_pattern(bad)
 
 
+def test_ascii_dialect():
+    assert java_pattern(r"(?i)k(?-i)k[\s\S]", ascii=True) == r"(?d)(?i)[k\x{212A}](?-i)k[\t\n\f\r \S\x0B]"
+    assert java_pattern(r"((?i)[^j-l])s\s", ascii=True) == r"(?d)((?i)[^\x{212A}j-l])s[\t\n\f\r ]"
+    for bad in ("(?i)é", "(?i)[[:alpha:]]", r"\b{start}"):
+        with pytest.raises(PatternError):
+            java_pattern(bad, ascii=True)
+
+
 def test_every_built_in_pattern_compiles(spark):
     config.compile_check(spark, config.load())
 
