@@ -30,6 +30,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -56,7 +57,10 @@ NODE_BYTES = 12_000_000
 FAN = 2048
 PART_KEYS = 4_000_000
 
-#: No word has white space in it, so these are no word's hash input.
+#: Bytes of a word that are hashed side by side with those of others; a longer word is hashed alone.
+SHORT_BYTES = 32
+
+#: Names of what is no word.
 _END = xxhash.xxh64_intdigest(b"\n end")
 _BEGIN = xxhash.xxh64_intdigest(b"\n begin")
 
@@ -72,10 +76,10 @@ class Block:
         bounds = split.offsets.to_numpy()
         inside = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]
         words = coded.indices.to_numpy()[real].astype(np.int64)
-        hashes = [xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        hashes = _word_hashes(coded.dictionary)
         self.end, self.begin = len(hashes), len(hashes) + 1
         self.width = len(hashes) + 2
-        self.hashes = np.array([*hashes, _END, _BEGIN], np.uint64)
+        self.hashes = np.concatenate([hashes, np.array([_END, _BEGIN], np.uint64)])
         self.lengths = np.diff(inside) + 1
         ends = np.cumsum(self.lengths)
         self.tokens = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int64)
@@ -106,9 +110,14 @@ class Block:
             self._add(history, (place >= n - 2) & (history >= 0), names, learned, n)
 
     def _add(self, history: np.ndarray, there: np.ndarray, names: np.ndarray, learned: np.ndarray, n: int) -> None:
-        pairs = history[there] * self.width + self.tokens[there]
-        distinct, _, at = _distinct(pairs)
-        context, last = np.divmod(distinct, self.width)
+        if n == 1:  # all have the same history, and words have numbers already
+            present = np.bincount(self.tokens, minlength=self.width) > 0
+            last = np.flatnonzero(present)
+            context, distinct = np.zeros(len(last), np.int64), last
+            at = (np.cumsum(present) - 1)[self.tokens]
+        else:
+            distinct, _, at = _distinct(history[there] * self.width + self.tokens[there])
+            context, last = np.divmod(distinct, self.width)
         key = self.hashes[last] if n == 1 else _mixed(names[context], self.hashes[last])
         found = np.full(len(self.tokens), -1, np.int64)
         found[there] = at
@@ -119,6 +128,25 @@ class Block:
         self.counts.append(np.bincount(at, weights=learned[there], minlength=len(distinct)).astype(np.int64))
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit name of each word, from its length and its bytes, eight at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    lengths = np.diff(ends)
+    raw = words.buffers()[2]
+    data = np.concatenate([np.frombuffer(raw, np.uint8)[: ends[-1]] if raw else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = lengths.astype(np.uint64)
+    for k in range(0, SHORT_BYTES, 8):
+        some = np.flatnonzero((lengths > k) & (lengths <= SHORT_BYTES))
+        beyond = np.maximum(0, 8 - (lengths[some] - k)).astype(np.uint64) * np.uint64(8)  # bits of the words that follow
+        out[some] = _mixed(out[some], eight[ends[some] + k] << beyond)
+    for i in np.flatnonzero(lengths > SHORT_BYTES).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[ends[i] : ends[i + 1]])
+    return out
+
+
 def _mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = history * np.uint64(0x9E3779B97F4A7C15) + (word ^ (word >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -153,32 +181,35 @@ class Automaton:
             self.arcs.append(np.where(count > 0, np.log(p), self.ABSENT))
             seen = count
 
-    def traverse(self) -> list[float]:
+    def traverse(self) -> np.ndarray:
         """Log-probabilities of the block's documents: one pass over the tokens, left to right, that carries the state."""
         block, top = self.block, self.order - 1
-        # The arc that each token takes from a state of each length, and the failure weight of such a state before it.
-        arcs = [np.where(g >= 0, a[g], self.ABSENT).tolist() for a, g in zip(self.arcs, block.grams)]
-        fails = [[]]
-        for n, weights in enumerate(self.fails):
-            before = np.append(-1, block.grams[n][:-1])
-            if not n:
-                before[block.starts] = len(weights) - 1
-            fails.append(weights[before].tolist())
-        known = self.known[block.grams[0]].tolist()
-        scores = []
-        for start, end in zip(block.starts.tolist(), (block.starts + block.lengths).tolist()):
-            length, total = min(1, top), 0.0  # of the state's history
-            for k in range(start, end):
-                p = arcs[length][k]
-                while p > 0:
-                    total += fails[length][k]
-                    length -= 1
-                    p = arcs[length][k]
-                total += p
-                if length < top:
-                    length += 1 if length or known[k] else 0
-            scores.append(total)
-        return scores
+        if not len(block.tokens):
+            return np.zeros(0)
+        # From a state of each length on each token: the weight of the failure arcs and the arc that it takes, and the length of the state that it comes to.
+        weight = self.arcs[0][block.grams[0]]
+        to = np.minimum(top, self.known[block.grams[0]]).astype(np.uint8)
+        weights, tos = [weight], [to]
+        for length, fails in enumerate(self.fails, 1):
+            before = np.append(-1, block.grams[length - 1][:-1])
+            if length == 1:
+                before[block.starts] = len(fails) - 1
+            arc = np.append(self.arcs[length], self.ABSENT)[block.grams[length]]
+            there = arc <= 0
+            weight = np.where(there, arc, np.append(fails, 0.0)[before] + weight)
+            to = np.where(there, min(length + 1, top), to).astype(np.uint8)
+            weights.append(weight)
+            tos.append(to)
+        first = min(1, top)
+        for to in tos:  # a document ends in the state that the next one begins in
+            to[block.starts[1:] - 1] = first
+        lengths = bytearray(len(block.tokens))
+        length = first
+        for k, by_length in enumerate(zip(*(to.tobytes() for to in tos))):
+            lengths[k] = length
+            length = by_length[length]
+        taken = np.choose(np.frombuffer(lengths, np.uint8), weights)
+        return np.add.reduceat(taken, block.starts)
 
 
 def _suffix_places(block: Block, n: int) -> np.ndarray:
@@ -234,15 +265,21 @@ def known_and_asked(blocks: list[Block], order: int, replies: list[np.ndarray])
 # -- distribution --------------------------------------------------------------------------
 
 
+@functools.cache
+def _zstandard() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for the many frames of a process."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Integers as byte planes, compressed."""
     width = values.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
+    return _zstandard()[0].compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def _unpacked(blob: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = np.frombuffer(_zstandard()[1].decompress(blob), np.uint8)
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
 
 
@@ -418,7 +455,7 @@ def score(docs: DataFrame, order: int = ORDER, masses: tuple[float, ...] = MASSE
             tokens = block.grams[0]
             base = np.add.reduceat(automaton.base[tokens], block.starts) / math.log(10)
             found = np.add.reduceat(automaton.known[tokens].astype(np.int64), block.starts)
-            scores = [s / math.log(10) for s in automaton.traverse()]
+            scores = automaton.traverse() / math.log(10)
             out.append(pa.table({"n_tokens": pa.array(block.lengths, pa.int64()), "n_known": pa.array(found, pa.int64()), "train_tokens": pa.array([n_tokens] * len(scores), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())}))
         del blocks, known, automaton, block
         hand_back()

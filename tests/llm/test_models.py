@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gritsieve.llm import lm_score, quality, toxicity
@@ -69,6 +70,29 @@ def test_scores_equal_brute_force(spark, order, fan, part_keys, monkeypatch):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_scores_of_texts_without_words(spark, order):
+    """A block that has no n-gram of an order at all."""
+    for rows in ([(1, "")], [(2, None), (3, " "), (4, "a")]):
+        got = sorted(tuple(r) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), order, (7.0, 3.0)).collect())
+        for a, b in zip(got, brute_model(rows, order, (7.0, 3.0)), strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_words_are_named_side_by_side(monkeypatch):
+    """By their bytes alone, wherever they lie; only long words one by one."""
+    words = ["", *("a" * n + c for n in range(70) for c in ("", "b", "\0", "é")), *map(str, range(100_000))]
+    words = list(dict.fromkeys(words))
+    names = lm_score._word_hashes(pa.array(words))
+    assert len(set(names.tolist())) == len(words)
+    assert (lm_score._word_hashes(pa.array(words[::-1])) == names[::-1]).all()
+    assert (lm_score._word_hashes(pa.array(words).slice(5, 300)) == names[5:305]).all()
+    alone = []
+    monkeypatch.setattr(lm_score.xxhash, "xxh64_intdigest", lambda w: alone.append(len(bytes(w))) or len(alone))
+    block = lm_score.Block(pa.array([" ".join(words)]), np.ones(1, bool), 3)
+    assert len(block.keys[0]) > 100_000 and len(alone) < 200 and min(alone) > lm_score.SHORT_BYTES
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     rows = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 1000
